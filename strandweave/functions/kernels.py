@@ -132,3 +132,169 @@ def _ring_minimum(prev: np.ndarray, key: np.ndarray, ring: np.ndarray) -> np.nda
         if np.array_equal(new, low):
             return key[ring] == low[ring]
         low = new
+
+
+#: Columns of a chain segment: a path of edges whose inner nodes are all linear. ``low_*``
+#: locate its edge with the smallest source node, ``twin_*`` the smallest source among twins.
+SEGMENT_SCHEMA = (
+    "src bigint, dst bigint, src_linear boolean, first_eid bigint, last_eid bigint, "
+    "w_sum bigint, n_edges bigint, bases string, low_src bigint, low_at bigint, low_eid bigint, "
+    "twin_src bigint, twin_eid bigint"
+)
+
+
+def edges_to_segments(edges: pa.Table) -> pa.Table:
+    """Segments of one edge each, from ``(eid, src, dst, w, label, src_linear)``."""
+    n = edges.num_rows
+    eid = edges["eid"].to_numpy()
+    return pa.table(
+        {
+            "src": edges["src"],
+            "dst": edges["dst"],
+            "src_linear": edges["src_linear"],
+            "first_eid": edges["eid"],
+            "last_eid": edges["eid"],
+            "w_sum": edges["w"],
+            "n_edges": np.ones(n, np.int64),
+            "bases": edges["label"],
+            "low_src": edges["src"],
+            "low_at": np.zeros(n, np.int64),
+            "low_eid": edges["eid"],
+            "twin_src": edges["dst"].to_numpy() ^ 1,
+            "twin_eid": eid ^ 1,
+        }
+    )
+
+
+def join_segments(segments: pa.Table) -> pa.Table:
+    """Join the segments at hand wherever one ends at the linear node another starts from.
+
+    Whatever has its neighbour elsewhere is passed on unjoined, so any split of the segments
+    over calls is right; a good split only leaves fewer segments.
+    """
+    if not segments.num_rows:
+        return segments
+    col = {c: segments[c].to_numpy() for c in segments.column_names if c != "bases"}
+    linear = np.flatnonzero(col["src_linear"])
+    linear = linear[np.argsort(col["src"][linear], kind="stable")]
+    sources = col["src"][linear]
+    nxt = np.full(segments.num_rows, -1, dtype=np.int64)
+    if len(sources):
+        at = np.minimum(np.searchsorted(sources, col["dst"]), len(sources) - 1)
+        nxt = np.where(sources[at] == col["dst"], linear[at], -1)
+    head, rank = link_ranks(nxt, col["low_src"])
+
+    order = np.lexsort((rank, head))
+    col = {c: v[order] for c, v in col.items()}
+    starts = np.flatnonzero(np.diff(head[order], prepend=-1))
+    stops = np.append(starts[1:], len(order))
+    sizes = stops - starts
+    group = np.repeat(np.arange(len(starts)), sizes)
+    first, last = starts, stops - 1
+
+    text, offsets = text_bytes(segments["bases"].combine_chunks().take(pa.array(order)))
+    joined = pa.LargeStringArray.from_buffers(
+        len(starts),
+        pa.py_buffer(np.append(offsets[starts], offsets[-1])),
+        pa.py_buffer(np.ascontiguousarray(text)),
+    )
+    before = np.cumsum(col["n_edges"]) - col["n_edges"]
+    low = _first_minimum(col["low_src"], starts, group)
+    twin = _first_minimum(col["twin_src"], starts, group)
+    return pa.table(
+        {
+            "src": col["src"][first],
+            "dst": col["dst"][last],
+            "src_linear": col["src_linear"][first],
+            "first_eid": col["first_eid"][first],
+            "last_eid": col["last_eid"][last],
+            "w_sum": np.add.reduceat(col["w_sum"], starts),
+            "n_edges": np.add.reduceat(col["n_edges"], starts),
+            "bases": joined.cast(pa.string()),
+            "low_src": col["low_src"][low],
+            "low_at": before[low] - before[first] + col["low_at"][low],
+            "low_eid": col["low_eid"][low],
+            "twin_src": col["twin_src"][twin],
+            "twin_eid": col["twin_eid"][twin],
+        }
+    )
+
+
+def _first_minimum(values: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Index of the smallest value of each group of consecutive items."""
+    lowest = np.minimum.reduceat(values, starts)
+    hits = np.flatnonzero(values == lowest[group])
+    return hits[np.diff(group[hits], prepend=-1) != 0]
+
+
+# ---- graph ------------------------------------------------------------------------------
+
+
+def component_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of an edge list and the smallest vertex each is connected to."""
+    vertices, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(vertices))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = np.minimum(new, new[label])
+        new = new[new]
+        if np.array_equal(new, label):
+            return vertices, vertices[label]
+        label = new
+
+
+def greedy_walks(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walk (row of its first unitig) and step of every unitig, in sweep order of the rows.
+
+    Walks begin at unitigs nothing leads to, heaviest first, then at whatever is left in row
+    order. A walk goes on with the heaviest unvisited unitig and ends where there is none.
+    """
+    n = len(src)
+    by_weight = np.argsort(-weight, kind="stable")
+    onward: dict[int, list[int]] = {}
+    for row in by_weight[::-1].tolist():
+        onward.setdefault(int(src[row]), []).append(row)
+    is_source = ~np.isin(src, dst)
+    starts = by_weight[is_source[by_weight]].tolist() + list(range(n))
+    ends = dst.tolist()
+    walk, step = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for first in starts:
+        row, at = first, 0
+        while row is not None and walk[row] < 0:
+            walk[row], step[row], at = first, at, at + 1
+            options = onward.get(ends[row], [])
+            while options and walk[options[-1]] >= 0:
+                options.pop()
+            row = options[-1] if options else None
+    return walk, step
+
+
+# ---- mapping ----------------------------------------------------------------------------
+
+
+def majority_votes(row: np.ndarray, contig: np.ndarray, n_rows: int, min_hits: int):
+    """Contig and hits of every row from its hits in order; see ``operators.mapping.vote``.
+
+    Rows are advanced together, one hit of each per pass.
+    """
+    winner, counter, streak = (np.zeros(n_rows, dtype=np.int64) for _ in range(3))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    left = np.diff(np.append(first, len(row)))
+    at = first
+    while len(at):
+        r, c = row[at], contig[at]
+        fresh = counter[r] == 0
+        same = ~fresh & (winner[r] == c)
+        winner[r[fresh]] = c[fresh]
+        streak[r[fresh]] = 0
+        counter[r] += np.where(fresh | same, 1, -1)
+        streak[r] += fresh | same
+        more = left > 1
+        at, left = at[more] + 1, left[more] - 1
+    total = np.bincount(row[winner[row] == contig], minlength=n_rows)
+    hits = np.where(streak == counter, streak, total)
+    return np.where(hits >= min_hits, winner, 0), hits
