@@ -44,21 +44,28 @@ def _scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the shared scratch folder; Spark removes it when the session ends."""
+    path = f"{_scratch_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop_path)
+    fs.deleteOnExit(hadoop_path)
+    return path
+
+
 def save_scratch(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared scratch folder and read it back.
 
     Unlike a cached block the table survives the loss of executors, its lineage is a plain
-    scan, and its size is known to the optimizer when it picks join strategies. Spark removes
-    the folder when the session ends.
+    scan, and its size is known to the optimizer when it picks join strategies.
     """
     spark = df.sparkSession
-    path = f"{_scratch_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{scratch_path(spark)}/table"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
