@@ -89,23 +89,40 @@ def slices(offsets: np.ndarray, limit: int = MAX_BASES):
 
 
 def link_ranks(nxt: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Head and rank of every item of the chains given by ``nxt`` (-1 ends a chain).
+    """Head and rank of every item of the chains given by ``nxt`` (-1 ends a chain)."""
+    prev = np.full(len(nxt), -1, dtype=np.int64)
+    has_next = np.flatnonzero(nxt >= 0)
+    prev[nxt[has_next]] = has_next
+    return chain_ranks(prev, key)
+
+
+def chain_ranks(prev: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Head and rank of every item from its predecessor (-1 for none).
 
     A closed ring is opened in front of its item with the smallest ``key``.
     """
-    n = len(nxt)
-    prev = np.full(n, -1, dtype=np.int64)
-    has_next = np.flatnonzero(nxt >= 0)
-    prev[nxt[has_next]] = has_next
     head, rank = _jump(prev)
     ring = np.flatnonzero(prev[head] >= 0)
     if len(ring):
         least = ring[_ring_minimum(prev, key, ring)]
+        prev = prev.copy()
         prev[least] = -1
         head, rank = _jump(prev)
     return head, rank
 
 
+def rank_links(ids: np.ndarray, prev_ids: np.ndarray, low: np.ndarray):
+    """Head id, rank and ring flag of items linked by id; a head itself is not among the items."""
+    if not len(ids):
+        return ids, ids, np.empty(0, dtype=bool)
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids, prev_ids, sorter=order), len(ids) - 1)]
+    prev = np.where(ids[at] == prev_ids, at, -1)
+    head, rank = chain_ranks(prev, low)
+    ring = prev[head] >= 0
+    return np.where(ring, ids[head], prev_ids[head]), np.where(ring, rank, rank + 1), ring
+
+
 def _jump(prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pointer doubling towards the head; items of a ring keep a head that has a predecessor."""
     items = np.arange(len(prev))
@@ -143,24 +160,48 @@ SEGMENT_SCHEMA = (
 )
 
 
-def edges_to_segments(edges: pa.Table) -> pa.Table:
-    """Segments of one edge each, from ``(eid, src, dst, w, label, src_linear)``."""
+def _revcomp(kmer: np.ndarray, k: int) -> np.ndarray:
+    """Reverse complement of packed k-mers: swap ever wider neighbouring groups of bits."""
+    x = ~kmer.astype(np.uint64)
+    for width in (2, 4, 8, 16, 32):
+        low = np.uint64(sum(((1 << width) - 1) << at for at in range(0, 64, 2 * width)))
+        step = np.uint64(width)
+        x = ((x & low) << step) | ((x >> step) & low)
+    return (x >> np.uint64(64 - 2 * k)).astype(np.int64)
+
+
+def edges_to_segments(edges: pa.Table, k: int) -> pa.Table:
+    """Segments of one edge each, from ``(eid, mark)`` with ``mark = 2 * weight + src_linear``.
+
+    Only these two numbers travel; nodes and bases are worked out from the k-mer again.
+    """
     n = edges.num_rows
-    eid = edges["eid"].to_numpy()
+    eid, mark = edges["eid"].to_numpy(), edges["mark"].to_numpy()
+    kmer, forward, rest = eid >> 1, (eid & 1) == 0, (1 << 2 * (k - 1)) - 1
+    rc = _revcomp(kmer, k)
+
+    def node(text: np.ndarray, text_rc: np.ndarray) -> np.ndarray:
+        return np.where(text <= text_rc, 2 * text, 2 * text_rc + 1)
+
+    u, v = node(kmer >> 2, rc & rest), node(kmer & rest, rc >> 2)
+    src, dst = np.where(forward, u, v ^ 1), np.where(forward, v, u ^ 1)
+    letters = np.frombuffer(b"ACGT", dtype=np.uint8)[np.where(forward, kmer, rc) & 3]
     return pa.table(
         {
-            "src": edges["src"],
-            "dst": edges["dst"],
-            "src_linear": edges["src_linear"],
-            "first_eid": edges["eid"],
-            "last_eid": edges["eid"],
-            "w_sum": edges["w"],
+            "src": src,
+            "dst": dst,
+            "src_linear": (mark & 1) == 1,
+            "first_eid": eid,
+            "last_eid": eid,
+            "w_sum": mark >> 1,
             "n_edges": np.ones(n, np.int64),
-            "bases": edges["label"],
-            "low_src": edges["src"],
+            "bases": pa.StringArray.from_buffers(
+                n, pa.py_buffer(np.arange(n + 1, dtype=np.int32)), pa.py_buffer(letters)
+            ),
+            "low_src": src,
             "low_at": np.zeros(n, np.int64),
-            "low_eid": edges["eid"],
-            "twin_src": edges["dst"].to_numpy() ^ 1,
+            "low_eid": eid,
+            "twin_src": dst ^ 1,
             "twin_eid": eid ^ 1,
         }
     )
@@ -192,7 +233,7 @@ def join_segments(segments: pa.Table) -> pa.Table:
     group = np.repeat(np.arange(len(starts)), sizes)
     first, last = starts, stops - 1
 
-    text, offsets = text_bytes(segments["bases"].combine_chunks().take(pa.array(order)))
+    text, offsets = text_bytes(_one_array(segments["bases"]).take(pa.array(order)))
     joined = pa.LargeStringArray.from_buffers(
         len(starts),
         pa.py_buffer(np.append(offsets[starts], offsets[-1])),
@@ -220,6 +261,10 @@ def join_segments(segments: pa.Table) -> pa.Table:
     )
 
 
+def _one_array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
 def _first_minimum(values: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Index of the smallest value of each group of consecutive items."""
     lowest = np.minimum.reduceat(values, starts)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every job benefits from; a cluster may override any of them.
 DEFAULTS = {
@@ -69,6 +70,15 @@ def save_scratch(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows (of a few numbers each) up to which a saved table is broadcast into a join.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(saved: DataFrame) -> DataFrame:
+    """Hint a saved table for broadcasting if it is small enough; otherwise Spark decides."""
+    return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on an input of a few unsplittable files; large inputs are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
