@@ -33,13 +33,12 @@ def reads_from_text(
 ) -> DataFrame:
     """``reads(read_id LONG, seq STRING)`` with ``read_id = id * 2^32 + offset``."""
     dna = df.select(F.col(id_col).alias("id"), text_to_dna(F.col(text_col), no_call).alias("dna"))
-    last = F.ceil((F.length("dna") - read_len) / stride) * stride
-    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"), F.lit(stride))
-    at = dna.filter(F.length("dna") > 0).select("id", "dna", F.explode(starts).alias("at"))
-    return at.select(
-        (F.shiftleft(F.col("id"), 32) + F.col("at")).alias("read_id"),
-        F.substring("dna", F.col("at") + 1, F.lit(read_len)).alias("seq"),
-    )
+    # Each match moves on by a stride and looks ahead for its window, so a text is read once.
+    pattern = F.lit(f"(?=(.{{1,{read_len}}})).{{1,{stride}}}")
+    n_windows = 1 + F.greatest(F.ceil((F.length("dna") - read_len) / stride), F.lit(0)).cast("int")
+    windows = F.slice(F.regexp_extract_all("dna", pattern, F.lit(1)), F.lit(1), n_windows)
+    at = dna.filter(F.length("dna") > 0).select("id", F.posexplode(windows).alias("n", "seq"))
+    return at.select((F.shiftleft(F.col("id"), 32) + F.col("n") * stride).alias("read_id"), "seq")
 
 
 def contigs_from_text(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
