@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,23 @@ def local_session(cores: int | str = "*", app: str = "strandweave", **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the session was started from."""
+    context = spark.sparkContext
+    folder = Path(__file__).parent
+    if getattr(context, "_strandweave_shipped", False) or not folder.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="strandweave-")) / "strandweave.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(folder.rglob("*.py")):
+            out.write(source, source.relative_to(folder.parent))
+    context.addPyFile(str(archive))
+    context._strandweave_shipped = True
 
 
 def _scratch_root(spark: SparkSession) -> str:
