@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandweave.llm import exact_dedup, mixing, packing, token_counts
+from strandweave.llm import exact_dedup, fingerprints, mixing, packing, quality_rules, secret_scan, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,3 +82,44 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf, "documents", "text"))
+
+
+RULES = [
+    url_filter.parse_rule("net/", url_filter.BLOCK),
+    url_filter.parse_rule("example.net/en/", url_filter.ALLOW),
+    url_filter.parse_rule("example.com/de/", url_filter.BLOCK),
+    url_filter.parse_rule("org/fr/", url_filter.ALLOW),
+]
+
+
+@query()
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages", "page_id", "url", "html")
+    judged = url_filter.judge(pages, RULES, columns=["page_id"])
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def quality_model(spark: SparkSession, sf: str, docs: DataFrame) -> quality_rules.RuleEnsemble:
+    """The classifier learned from the labelled rows that are not held out."""
+    labels = _table(spark, sf, "labels", "doc_id", "quality")
+    return quality_rules.train(docs, labels.filter(~quality_rules.held_out(F.col("doc_id"))))
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "text")
+    scored = quality_rules.score(docs, quality_model(spark, sf, docs))
+    held_out = quality_rules.held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
+@query()
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
+
+
+@query()
+def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.compare_with_next(_table(spark, sf, "documents", "doc_id", "text"))
