@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import exact_dedup, fingerprints, mixing, ngram_join, packing, quality_rules, secret_scan, token_counts, url_filter
+from strandweave.llm import exact_dedup, fingerprints, lm_scoring, mixing, ngram_join, packing, quality_rules, secret_scan, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,3 +129,8 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents", "doc_id", "text")
     return ngram_join.components_by_id(docs).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf, "documents", "doc_id", "text"))

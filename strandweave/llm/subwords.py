@@ -89,10 +89,13 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32) and where each text's begin, with the end (int64)."""
+        words, starts = split_words(texts)
+        return self.encode_words(words.dictionary_encode(), starts)
+
+    def encode_words(self, coded: pa.DictionaryArray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words already split, as a dictionary."""
         if len(self.parts) > REMEMBERED:
             self.parts = {}
-        words, starts = split_words(texts)
-        coded = words.dictionary_encode()
         each = [self.word_bytes(word) for word in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         ends = np.zeros(len(each) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4, out=ends[1:])
