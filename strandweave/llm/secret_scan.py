@@ -26,8 +26,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 RUN = r"(?<![A-Za-z0-9+/_=])([A-Za-z0-9+/_=]{%d,})"
 #: Runs from which ordinary identifiers are learned, and runs that are judged, have so many characters.
 LEARNED_FROM, JUDGED_FROM = 8, 16
-#: Pseudo-counts of each pair of characters.
-PRIOR = 0.5
+#: Pseudo-counts after each character, shared by how common the next one is; and of each single character.
+PRIOR, PRIOR_EACH = 30.0, 1.0
 #: The least log-likelihood ratio (natural logarithm) of a secret, in all and for each character.
 LEAST_RATIO, LEAST_EACH = 12.0, 0.75
 FOUND = "markov"
@@ -57,10 +57,8 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
 
 def base_spans(text: Column) -> Column:
     """The spans of all base patterns, by start and then kind."""
-    found = [
-        F.filter(matches(text, pattern, kind), lambda span, n=n: F.length(span["value"]) >= n)
-        for kind, (_, pattern, n) in enumerate(KINDS)
-    ]
+    long_enough = lambda n: lambda span: F.length(span["value"]) >= n
+    found = [F.filter(matches(text, pattern, kind), long_enough(n)) for kind, (_, pattern, n) in enumerate(KINDS)]
     return F.array_sort(F.concat(*found))
 
 
@@ -71,13 +69,19 @@ def outside(spans: Column, base: Column) -> Column:
     )
 
 
+def _mixed(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
 def labelled_samples(found: DataFrame) -> DataFrame:
     """``(random, value, n)`` of the text runs to learn from, each text once with its count.
 
-    Values of base spans are samples of random strings; runs outside of base spans are ordinary.
+    Values of base spans are samples of random strings; runs outside of base spans are ordinary, except for
+    those that are to be judged themselves.
     """
     runs = F.regexp_extract_all("rest", F.lit(RUN % LEARNED_FROM), F.lit(1))
     ordinary = found.select(F.lit(False).alias("random"), F.explode(runs).alias("value"))
+    ordinary = ordinary.filter(~(_mixed(F.col("value")) & (F.length("value") >= JUDGED_FROM)))
     random = found.select(F.lit(True).alias("random"), F.explode(F.col("base.value")).alias("value"))
     return ordinary.unionByName(random).groupBy("random", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -114,8 +118,11 @@ class MarkovModels:
         return walked["sum"]
 
 
-def learn(samples: DataFrame, prior: float = PRIOR) -> MarkovModels:
-    """Fit both models; with no samples of a kind its model is even over all characters."""
+def learn(samples: DataFrame) -> MarkovModels:
+    """Fit both models; with no samples of a kind its model is even over all characters.
+
+    A character's probability after another leans on its probability after any.
+    """
     width = len(ALPHABET) + 1
     counts = pair_counts(samples)
     grid = samples.sparkSession.range(width * width).select(F.col("id").cast("int").alias("pair"))
@@ -123,10 +130,20 @@ def learn(samples: DataFrame, prior: float = PRIOR) -> MarkovModels:
         F.sum(F.when(F.col("random"), F.col("n")).otherwise(0)).alias("n_random"),
         F.sum(F.when(F.col("random"), 0).otherwise(F.col("n"))).alias("n_ordinary"),
     )
-    full = grid.join(both, "pair", "left").na.fill(0).withColumn("last", F.expr(f"pair div {width}"))
-    rows = full.groupBy("last").agg(F.sum("n_random").alias("all_random"), F.sum("n_ordinary").alias("all_ordinary"))
-    logs = lambda kind: F.log((F.col(f"n_{kind}") + prior) / (F.col(f"all_{kind}") + prior * width))
-    table = full.join(rows, "last").select("pair", (logs("random") - logs("ordinary")).alias("ratio"))
+    full = grid.join(both, "pair", "left").na.fill(0)
+    full = full.withColumn("last", F.expr(f"pair div {width}")).withColumn("next", F.col("pair") % width)
+    sums = lambda by, prefix: full.groupBy(by).agg(
+        F.sum("n_random").alias(f"{prefix}_random"), F.sum("n_ordinary").alias(f"{prefix}_ordinary")
+    )
+    table = full.join(sums("last", "after"), "last").join(sums("next", "any"), "next")
+    total = F.struct(*[F.sum(f"n_{kind}").alias(kind) for kind in ("random", "ordinary")])
+    totals = full.agg(total.alias("t")).first().t
+
+    def log_p(kind: str) -> Column:
+        anywhere = (F.col(f"any_{kind}") + PRIOR_EACH) / F.lit(totals[kind] + PRIOR_EACH * width)
+        return F.log((F.col(f"n_{kind}") + PRIOR * anywhere) / (F.col(f"after_{kind}") + PRIOR))
+
+    table = table.select("pair", (log_p("random") - log_p("ordinary")).alias("ratio"))
     # One number for each pair of characters comes to the driver, whatever the input.
     return MarkovModels([row.ratio for row in table.orderBy("pair").collect()])
 
@@ -134,7 +151,7 @@ def learn(samples: DataFrame, prior: float = PRIOR) -> MarkovModels:
 def suspicious(text: Column, base: Column, models: MarkovModels) -> Column:
     """Spans of runs that mix kinds of characters and that the models call random."""
     runs = outside(matches(text, RUN % JUDGED_FROM, len(KINDS)), base)
-    mixed = F.filter(runs, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    mixed = F.filter(runs, lambda s: _mixed(s["value"]))
     return F.filter(
         mixed,
         lambda s: models.ratio(s["value"]) >= F.greatest(F.lit(LEAST_RATIO), F.length(s["value"]) * F.lit(LEAST_EACH)),
