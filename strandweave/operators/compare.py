@@ -23,16 +23,29 @@ def contained_in(contigs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """``(contig_id, text_id)`` for contigs that occur in a text on either strand.
 
     A contig that occurs in a text shares its first k-mer with it, so candidates come from an
-    equi-join on that k-mer and only those are compared base by base.
+    equi-join on that k-mer and only those are compared base by base. Contigs shorter than k take
+    part with all of their bases; an empty one is in every text and is left out.
     """
-    seeds = contigs.filter(F.length("sequence") >= k).select(
-        "contig_id",
-        "sequence",
-        dna.canonical_kmer(F.substring("sequence", 1, k), k).alias("kmer"),
-    )
-    at = extract_kmers(texts, k, id_col="text_id", seq_col="sequence").select("text_id", "kmer").distinct()
-    candidates = seeds.select("contig_id", "kmer").join(at, "kmer").select("contig_id", "text_id")
-    whole = candidates.join(seeds.select("contig_id", "sequence"), "contig_id").join(
+    width = F.least(F.length("sequence"), F.lit(k)).alias("width")
+    sized = contigs.filter(F.length("sequence") > 0).select("contig_id", "sequence", width)
+    # No more than k widths.
+    widths = sorted(row.width for row in sized.select("width").distinct().collect())
+    candidates = None
+    for n in widths:
+        first = F.substring("sequence", 1, n)
+        seeds = sized.filter(F.col("width") == n)
+        if n == 1:
+            seeds = seeds.select("contig_id", dna.canonical(first).alias("kmer"))
+            bases = F.array_distinct(F.split("sequence", ""))
+            at = texts.select("text_id", F.explode(F.transform(bases, dna.canonical)).alias("kmer")).distinct()
+        else:
+            seeds = seeds.select("contig_id", dna.canonical_kmer(first, n).alias("kmer"))
+            at = extract_kmers(texts, n, id_col="text_id", seq_col="sequence").select("text_id", "kmer").distinct()
+        found = seeds.join(at, "kmer").select("contig_id", "text_id")
+        candidates = found if candidates is None else candidates.unionByName(found)
+    if candidates is None:
+        return contigs.select("contig_id").join(texts.select("text_id").limit(0), F.lit(False))
+    whole = candidates.join(contigs.select("contig_id", "sequence"), "contig_id").join(
         texts.select("text_id", F.col("sequence").alias("text")), "text_id"
     )
     found = F.contains("text", F.col("sequence")) | F.contains("text", dna.revcomp(F.col("sequence")))

@@ -68,7 +68,7 @@ def _finish(counted: DataFrame, min_count: int, max_count: int | None) -> DataFr
     return kept.withColumn("cnt", F.least("cnt", F.lit(max_count).cast("bigint")))
 
 
-def count_reads(reads: DataFrame, k: int = 31, min_count: int = 2, max_count: int | None = 1_000_000) -> DataFrame:
+def count_reads(reads: DataFrame, k: int = 31, min_count: int = 2, max_count: int | None = None) -> DataFrame:
     """K-mer counts straight from reads; windows with a no-call are left out."""
     return count_kmers(extract_kmers(reads, k, id_col=None), min_count, max_count)
 

@@ -845,8 +845,7 @@ def truth_anti_join(spark, sf):
         sql.contigs(),
         f"texts AS (SELECT doc_id AS text_id, {sql._dna('')} AS sequence FROM documents)",
         select=f"""SELECT c.contig_id, t.text_id FROM contigs c JOIN texts t
-ON contains(t.sequence, c.sequence) OR contains(t.sequence, {sql._rc('c.sequence')})
-WHERE length(c.sequence) >= {K}""",
+ON contains(t.sequence, c.sequence) OR contains(t.sequence, {sql._rc('c.sequence')})""",
     )
 )
 def substring_containment(spark, sf):

@@ -8,19 +8,20 @@ begins in its range. Gzip cannot be split, so such a file is one task. A row's `
 from __future__ import annotations
 
 import gzip
-import json
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-SCHEMA = "file string, mate int, offset bigint, name string, seq string, qual string"
+SCHEMA = "file string, mate int, offset bigint, number bigint, name string, seq string, qual string"
 SPLIT_BYTES = 128 << 20
 BLOCK_BYTES = 8 << 20
 
@@ -59,6 +60,7 @@ class FastqRange(InputPartition):
     path: str
     start: int
     stop: int
+    number: int = 0
 
 
 def _records_begin(lines: list[bytes]) -> int | None:
@@ -114,19 +116,31 @@ def _read_range(part: FastqRange) -> Iterator[tuple[list[int], list[bytes]]]:
             whole = len(held) - len(held) % 4
             offsets, pos = [], held_at
             for i in range(0, whole, 4):
-                if 0 <= part.stop <= pos:
+                if 0 <= part.stop <= pos or not any(line.strip() for line in held[i : i + 4]):
                     break
                 offsets.append(pos)
                 pos += len(held[i]) + len(held[i + 1]) + len(held[i + 2]) + len(held[i + 3]) + 4
             if offsets:
                 yield offsets, held[: 4 * len(offsets)]
             if 4 * len(offsets) < whole:
+                # The next task's range, or blank lines, which only the end of a file may have.
+                rest = held[4 * len(offsets) :] if part.stop < 0 or pos < part.stop else []
+                if any(line.strip() for line in rest) or (rest and _any_text(stream)):
+                    raise ValueError(f"{part.path}: blank lines before byte {pos} are not at the end of the file")
                 return
             held, held_at = held[whole:], pos
         if any(line.strip() for line in held) and synced:
             raise ValueError(f"{part.path}: incomplete record at the end of the file")
 
 
+def _any_text(stream) -> bool:
+    """Whether anything but white space is left to read."""
+    while block := stream.read(BLOCK_BYTES):
+        if block.strip():
+            return True
+    return False
+
+
 def _clean(lines: list[bytes]) -> list[bytes]:
     return [line.rstrip(b"\r") for line in lines]
 
@@ -142,6 +156,7 @@ def _batches(part: FastqRange, schema: StructType, mate: int) -> Iterator[pa.Rec
             "file": lambda: pa.array([part.path] * n, pa.string()),
             "mate": lambda: pa.array([mate] * n, pa.int32()),
             "offset": lambda: pa.array(offsets, pa.int64()),
+            "number": lambda: pa.array([part.number] * n, pa.int64()),
             "name": lambda: pa.array([h[1:] for h in _clean(heads)], pa.binary()).cast(pa.string()),
             "seq": lambda: pa.array(_clean(seqs), pa.binary()).cast(pa.string()),
             "qual": lambda: pa.array(_clean(quals), pa.binary()).cast(pa.string()),
@@ -154,15 +169,16 @@ class _FastqReader(DataSourceReader):
         self.schema, self.path = schema, options["path"]
         self.mate = int(options.get("mate", 1))
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.first = int(options.get("firstNumber", 0))
 
     def ranges(self, files: list[pafs.FileInfo]) -> list[FastqRange]:
         out = []
-        for f in files:
+        for number, f in enumerate(files, start=self.first):
             if _is_gzip(f.path) or f.size <= self.split:
-                out.append(FastqRange(self.path, f.path, 0, -1))
+                out.append(FastqRange(self.path, f.path, 0, -1, number))
             else:
                 starts = range(0, f.size, self.split)
-                out += [FastqRange(self.path, f.path, s, s + self.split) for s in starts]
+                out += [FastqRange(self.path, f.path, s, s + self.split, number) for s in starts]
         return out
 
     def partitions(self):
@@ -174,28 +190,29 @@ class _FastqReader(DataSourceReader):
 
 
 class _FastqStreamReader(_FastqReader, DataSourceStreamReader):
-    """Files appear in order of (time, name); the offset is the last one taken."""
+    """A batch is the files that were not there before, whatever their times and names.
+
+    The offset, which Spark keeps in the checkpoint, names all files so far. A new file's number goes on
+    from how many there were, so no two files of a stream share one while files stay in the folder.
+    """
 
     def initialOffset(self) -> dict:
-        return {"mtime_ns": -1, "path": ""}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        files = list_files(self.path)
-        if not files:
-            return self.initialOffset()
-        return {"mtime_ns": files[-1].mtime_ns, "path": files[-1].path}
+        return {"files": sorted(f.path for f in list_files(self.path))}
 
     def partitions(self, start: dict, end: dict):
-        def key(o: dict) -> tuple:
-            return o["mtime_ns"], o["path"]
-
-        taken = [f for f in list_files(self.path) if key(start) < (f.mtime_ns, f.path) <= key(end)]
-        return self.ranges(taken)
+        known, wanted = set(start["files"]), set(end["files"])
+        taken = sorted((f for f in list_files(self.path) if f.path in wanted - known), key=lambda f: f.path)
+        numbers = {f.path: len(known) + i for i, f in enumerate(taken)}
+        return [replace(part, number=numbers[part.path]) for part in self.ranges(taken)]
 
 
 class FastqDataSource(DataSource):
     """``spark.read.format("fastq")``; name only the columns wanted in ``schema`` to leave out
-    names and qualities at the source. Options: ``mate``, ``splitBytes``."""
+    names and qualities at the source. ``number`` counts the files. Options: ``mate``, ``splitBytes``,
+    ``firstNumber``."""
 
     @classmethod
     def name(cls) -> str:
@@ -212,11 +229,13 @@ class FastqDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    # By value, as the process that plans a stream has no access to the package that is sent to workers.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(FastqDataSource)
 
 
-def _with_read_id(df: DataFrame, number: Column) -> DataFrame:
-    return df.withColumn("read_id", F.shiftleft(number.cast("bigint"), OFFSET_BITS) + F.col("offset"))
+def _with_read_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("read_id", F.shiftleft("number", OFFSET_BITS) + F.col("offset")).drop("number")
 
 
 def read_fastq(
@@ -228,27 +247,21 @@ def read_fastq(
     are unique over all files.
     """
     register(spark)
-    columns = "file string, mate int, offset bigint, seq string"
+    columns = "file string, mate int, offset bigint, number bigint, seq string"
     if with_quality:
         columns += ", name string, qual string"
     parts, number = [], 0
     for mate, path in enumerate(paths, start=1):
-        numbers = {}
-        for f in list_files(path):
-            numbers[f.path] = number
-            number += 1
         df = (
             spark.read.format("fastq")
             .schema(columns)
             .option("mate", str(mate))
             .option("splitBytes", str(split_bytes))
+            .option("firstNumber", str(number))
             .load(path)
         )
-        if len(numbers) == 1:
-            file_number = F.lit(next(iter(numbers.values())))
-        else:
-            file_number = F.from_json(F.lit(json.dumps(numbers)), "map<string, bigint>")[F.col("file")]
-        parts.append(_with_read_id(df, file_number))
+        number += len(list_files(path))
+        parts.append(_with_read_id(df))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -256,15 +269,15 @@ def read_fastq(
 
 
 def stream_fastq(spark: SparkSession, path: str, mate: int = 1) -> DataFrame:
-    """Reads of the files that appear in a folder, as a stream.
+    """Reads of the files that appear in a folder, as a stream; late files with old times count too.
 
-    A read id is made from the hash of the file name, as files are not known beforehand.
+    Read ids are unique as long as files stay in the folder.
     """
     register(spark)
     stream = (
         spark.readStream.format("fastq")
-        .schema("file string, mate int, offset bigint, seq string")
+        .schema("file string, mate int, offset bigint, number bigint, seq string")
         .option("mate", str(mate))
         .load(path)
     )
-    return _with_read_id(stream, F.pmod(F.xxhash64("file"), F.lit(1 << 20)))
+    return _with_read_id(stream)

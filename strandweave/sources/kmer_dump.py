@@ -9,10 +9,16 @@ from strandweave.functions import dna
 
 
 def parse_dump(lines: DataFrame, k: int, column: str = "value") -> DataFrame:
-    """``(kmer, cnt)`` of the well-formed lines; others are skipped and equal k-mers added up."""
+    """``(kmer, cnt)`` of the well-formed lines; others are skipped and equal k-mers added up.
+
+    A count too large for a 64-bit number ends the job with an error.
+    """
     fields = F.split(F.col(column), "\t")
-    parsed = lines.filter(F.col(column).rlike(f"^[{dna.BASES}]{{{k}}}\t[0-9]{{1,18}}$")).select(
-        dna.parse_kmer(fields[0], k).alias("kmer"), fields[1].cast("bigint").alias("cnt")
+    parsed = lines.filter(F.col(column).rlike(f"^[{dna.BASES}]{{{k}}}\t[0-9]+$")).select(
+        dna.parse_kmer(fields[0], k).alias("kmer"),
+        F.coalesce(
+            fields[1].try_cast("bigint"), F.raise_error(F.concat(F.lit("count too large in k-mer dump: "), fields[1]))
+        ).alias("cnt"),
     )
     return parsed.groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 

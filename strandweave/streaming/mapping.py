@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandweave.functions import dna
 from strandweave.operators.mapping import ReadMapper
+from strandweave.session import save_scratch
 
 # Rows of the count table that are not contigs.
 UNMAPPED = 0
@@ -24,9 +25,11 @@ def count_stream(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        # Saved, so that the batch's files are read once for both.
+        kept = save_scratch(batch.select("read_id", "seq"))
         bad = dna.has_no_call(F.col("seq"))
-        assigned = mapper.assign(batch).groupBy("contig_id").agg(F.count("*").alias("n"))
-        dropped = batch.filter(bad).agg(
+        assigned = mapper.assign(kept).groupBy("contig_id").agg(F.count("*").alias("n"))
+        dropped = kept.filter(bad).agg(
             F.lit(DROPPED).cast("bigint").alias("contig_id"), F.count("*").alias("n")
         )
         assigned.unionByName(dropped).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")

@@ -130,3 +130,13 @@ def test_containment_and_repeats(spark):
     assert [r.n for r in compare.repeated_contigs(contigs).collect()] == [2]
     assert compare.repeated_contigs(contigs, min_length=11).isEmpty()
     assert contigs.filter(F.length("sequence") == 10).count() == 3
+
+
+def test_containment_of_short_contigs(spark):
+    texts = spark.createDataFrame([(1, "ACGTTGCATTAGGCTAACCGTTAAGGCTTACG"), (2, "TTTTT")], "text_id long, sequence string")
+    contigs = spark.createDataFrame(
+        [(1, "TTGCATTAGG"), (2, "CCTAATG"), (3, "A"), (4, "GGGG"), (5, "AAAAA"), (6, "")], "contig_id long, sequence string"
+    )
+    found = {(r.contig_id, r.text_id) for r in compare.contained_in(contigs, texts, 15).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (3, 2), (5, 2)}
+    assert compare.contained_in(contigs.limit(0), texts, 15).isEmpty()

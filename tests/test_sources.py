@@ -1,4 +1,5 @@
 import gzip
+import os
 import random
 
 import pytest
@@ -6,8 +7,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strandweave.operators import mapping, reads
-from strandweave.sources import fastq, outputs
-from strandweave.sources.synthetic import simulate_pairs
+from strandweave.sources import fastq, kmer_dump, outputs
+from tests.synthetic import simulate_pairs
 from strandweave.sources.text_reads import contigs_from_text, reads_from_text
 from strandweave.streaming import mapping as streaming
 
@@ -165,3 +166,41 @@ def test_streams_match_batch(spark, tmp_path):
     query = live.writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("live").exceptAll(mapping.raw_counts(assigned)).isEmpty()
+
+
+def test_stream_takes_late_files_and_numbers_them_apart(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def run():
+        stream = fastq.stream_fastq(spark, str(folder))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+        return spark.read.parquet(out)
+
+    (folder / "b.fastq").write_text(_text([("x", "ACGT", "IIII")] * 3))
+    assert run().count() == 3
+    for name, n, age in (("a.fastq", 5, 1000), ("c.fastq", 2, 0)):
+        (folder / name).write_text(_text([("x", "ACGT", "IIII")] * n))
+        os.utime(folder / name, (os.path.getmtime(folder / "b.fastq") - age,) * 2)
+    found = run()
+    assert found.count() == 10 and found.select("read_id").distinct().count() == 10
+
+
+def test_blank_lines_may_only_end_a_file(spark, tmp_path):
+    path = tmp_path / "a.fastq"
+    record = _text([("x", "ACGT", "IIII")])
+    path.write_text(record + "\n\n\n\n\n")
+    assert fastq.read_fastq(spark, str(path)).count() == 1
+    path.write_text(record + "\n\n\n\n" + record)
+    with pytest.raises(Exception, match="blank lines"):
+        fastq.read_fastq(spark, str(path)).count()
+
+
+def test_large_counts_of_a_dump_are_not_dropped(spark):
+    lines = spark.createDataFrame([("ACG\t1234567890123456789",), ("TTT\t2",)], "value string")
+    assert {r.cnt for r in kmer_dump.parse_dump(lines, 3).collect()} == {1234567890123456789, 2}
+    lines = spark.createDataFrame([("ACG\t12345678901234567890",)], "value string")
+    with pytest.raises(Exception, match="count too large"):
+        kmer_dump.parse_dump(lines, 3).collect()
