@@ -17,7 +17,7 @@ from strandweave.operators import compare, components, contigs, graph, kmers, ma
 from strandweave.plans import oracle_sql as sql
 from strandweave.plans.assembly import AssemblyOptions, assemble
 from strandweave.session import save_scratch, scratch_path, spread
-from strandweave.sources import kmer_dump, outputs
+from strandweave.sources import fastq, kmer_dump, outputs
 from strandweave.sources.text_reads import contigs_from_text, reads_from_text
 from strandweave.streaming import mapping as streaming
 
@@ -402,9 +402,10 @@ def edges_by_label(spark, sf):
 
 @query(
     sql.statement(
-        _SMALL_EDGES,
+        f"""{_SMALL_EDGES}, seen_back AS (
+SELECT eid, w, xor(dst, 1::BIGINT) AS src, xor(src, 1::BIGINT) AS dst FROM edges)""",
         select="""SELECT a.eid, b.eid AS twin_eid, b.src AS twin_src, b.dst AS twin_dst, b.label AS twin_label
-FROM edges a JOIN edges b ON b.src = xor(a.dst, 1::BIGINT) AND b.dst = xor(a.src, 1::BIGINT) AND b.w = a.w""",
+FROM seen_back a JOIN edges b USING (src, dst, w)""",
     )
 )
 def edge_twins(spark, sf):
@@ -889,6 +890,35 @@ def stream_map_counts(spark, sf):
     return streaming.stream_totals(spark, f"{folder}/counts")
 
 
+def _as_fastq(every: DataFrame) -> DataFrame:
+    quality = F.expr("repeat('I', length(seq))").alias("qual")
+    return every.select(F.col("read_id").cast("string").alias("name"), "seq", quality)
+
+
+@query(sql.statement(sql.reads(), select="SELECT read_id, seq, length(seq) AS len FROM reads"))
+def fastq_roundtrip(spark, sf):
+    """The reads written as FASTQ, half of them gzipped, and read again in small byte ranges."""
+    every, folder = save_scratch(_reads(spark, sf)), scratch_path(spark)
+    for mate, kind in enumerate(("none", "gzip")):
+        half = every.filter(F.pmod("read_id", F.lit(2)) == mate)
+        outputs.write_fastq(_as_fastq(half), f"{folder}/{kind}", kind)
+    found = fastq.read_fastq(spark, f"{folder}/none", f"{folder}/gzip", with_quality=True, split_bytes=1 << 16)
+    whole = found.filter(F.length("qual") == F.length("seq"))
+    return whole.select(F.col("name").cast("bigint").alias("read_id"), "seq", F.length("seq").cast("bigint").alias("len"))
+
+
+@query(ORACLES["stream_map_counts"])
+def fastq_stream_counts(spark, sf):
+    """The reads written as FASTQ and mapped as a stream of files."""
+    folder = scratch_path(spark)
+    outputs.write_fastq(_as_fastq(_reads(spark, sf)), f"{folder}/reads")
+    mapper = mapping.ReadMapper(_contigs(spark, sf), k=K_MAP, min_hits=MIN_HITS)
+    stream = fastq.stream_fastq(spark, f"{folder}/reads")
+    run = streaming.count_stream(stream, mapper, f"{folder}/counts", f"{folder}/state", availableNow=True)
+    run.awaitTermination()
+    return streaming.stream_totals(spark, f"{folder}/counts")
+
+
 @query()
 def assembly(spark, sf):
     """Reads to contigs to abundance in one go."""
