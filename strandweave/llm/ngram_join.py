@@ -168,7 +168,10 @@ def _groups(blocks: DataFrame, everything: bool, salt: int) -> DataFrame:
 
 
 def _search(table: pa.Table, percent: int, partners: int | None) -> pa.RecordBatch:
-    """Pairs of nodes with different labels that may be similar, from rows sorted by ``place``."""
+    """Pairs of nodes with different labels that may be similar, from rows sorted by ``place``.
+
+    Rows ``(a, b, null)``, and ``(null, null, block)`` for blocks that had more pairs than ``partners`` let through.
+    """
     place = table["place"].to_numpy()
     ids, labels, part = table["id"].to_numpy(), table["label"].to_numpy(), table["part"].to_numpy()
     first_part, second_part = table["part_a"].to_numpy(), table["part_b"].to_numpy()
@@ -195,6 +198,7 @@ def _search(table: pa.Table, percent: int, partners: int | None) -> pa.RecordBat
     most = bounds(vectors, a, b)
     wanted = similar_enough(most, sizes[a] + sizes[b], percent)
     a, b, most = a[wanted], b[wanted], most[wanted]
+    cut = np.empty(0, np.int64)
     if partners is not None and len(a):
         # The likeliest pairs of each label of each group.
         share = most / (sizes[a] + sizes[b] - most)
@@ -206,13 +210,16 @@ def _search(table: pa.Table, percent: int, partners: int | None) -> pa.RecordBat
             )
             begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
             kept[order[np.arange(len(order)) - begin < partners]] = True
+        cut = np.unique(table["block"].to_numpy()[a[~kept]])
         a, b = a[kept], b[kept]
     low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+    none = lambda n: pa.nulls(n, pa.int64())
+    columns = [(pa.array(low), none(len(cut))), (pa.array(high), none(len(cut))), (none(len(low)), pa.array(cut))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(parts) for parts in columns], ["a", "b", "block"])
 
 
 def candidates(groups: DataFrame, vectors: DataFrame, percent: int, partners: int | None) -> DataFrame:
-    """Distinct pairs ``(a, b)`` that the tree of each group leaves; ``partners`` limits a round's offers."""
+    """Distinct rows of ``_search`` over all groups; ``partners`` limits a round's offers."""
     rows = groups.join(vectors, "id")
     rows = rows.withColumn("place", F.xxhash64("block", "part_a", "part_b"))
     rows = rows.repartition("place").sortWithinPartitions("place", "id")
@@ -221,8 +228,8 @@ def candidates(groups: DataFrame, vectors: DataFrame, percent: int, partners: in
         for table in whole_groups(batches, "place", TASK_BYTES):
             yield _search(table, percent, partners)
 
-    found = rows.select("place", "part_a", "part_b", "part", "id", "label", "n", "vector").mapInArrow(run, "a long, b long")
-    return found.distinct()
+    rows = rows.select("place", "block", "part_a", "part_b", "part", "id", "label", "n", "vector")
+    return rows.mapInArrow(run, "a long, b long, block long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -296,9 +303,13 @@ def link_components(nodes: DataFrame, words: int = WORDS, percent: int = PERCENT
     links, labels, tested, salt, texts = None, None, None, 0, None
     everything = False
     while True:
-        current = _labelled(blocks if salt == 0 else blocks.filter(F.col("size") > PARTNERS + 1), labels)
-        groups = _groups(current.drop("n"), everything, salt)
-        found = candidates(groups, vectors, percent, None if everything else PARTNERS)
+        groups = _groups(_labelled(blocks, labels).drop("n"), everything, salt)
+        searched = save_scratch(candidates(groups, vectors, percent, None if everything else PARTNERS))
+        # Blocks searched whole, of which no pair was held back, are done.
+        held_back = searched.filter("block IS NOT NULL").select("block")
+        large = blocks.filter(F.col("size") > CHUNK).select("block")
+        blocks = save_scratch(blocks.join(held_back.unionByName(large).distinct(), "block", "left_semi"))
+        found = searched.filter("block IS NULL").select("a", "b")
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = save_scratch(found)
