@@ -60,10 +60,10 @@ class Rule:
         fits = [columns[name] > limit if above else columns[name] <= limit for name, above, limit in self.conditions]
         return np.logical_and.reduce(fits)
 
-    def column(self, prefix: str) -> Column:
+    def column(self, values: Column) -> Column:
         fits = F.lit(True)
         for name, above, limit in self.conditions:
-            value = F.col(f"{prefix}{name}")
+            value = values[name]
             fits = fits & ((value > limit) if above else (value <= limit))
         return fits
 
@@ -75,12 +75,21 @@ class RuleEnsemble:
     bias: float
     rules: list[tuple[Rule, float]] = field(default_factory=list)
 
-    def score(self, prefix: str = "") -> Column:
-        """The probability of label 1 as a column over the statistics."""
-        total = F.lit(self.bias)
-        for rule, weight in self.rules:
-            total = total + F.when(rule.column(prefix), F.lit(weight)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+    def score(self, text: Column) -> Column:
+        """The probability of label 1 as one column expression.
+
+        The statistics are the variable of a lambda, so they are measured once for all rules, also where the
+        optimizer moves the score into a filter.
+        """
+        used = {name for rule, _ in self.rules for name, _, _ in rule.conditions}
+        numbers = [column.alias(name) for name, column in statistics(text).items() if name in used]
+
+        def total(values: Column) -> Column:
+            weights = [F.when(rule.column(values), F.lit(weight)).otherwise(F.lit(0.0)) for rule, weight in self.rules]
+            return sum(weights, F.lit(self.bias))
+
+        margin = F.transform(F.array(F.struct(*numbers)), total)[0] if numbers else F.lit(self.bias)
+        return 1 / (1 + F.exp(-margin))
 
 
 def _grow(columns, names, order, gradient, hessian, rows, depth, path, found) -> np.ndarray:
@@ -197,10 +206,5 @@ def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> DataF
     Null and empty texts have all statistics 0 and are scored like any other. Columns named like an
     added one are replaced.
     """
-    rows = packed(docs)
-    numbers = [column.alias(f"stat_{name}") for name, column in statistics(F.col(f"doc.`{text_col}`")).items()]
-    used = {name for rule, _ in model.rules for name, _, _ in rule.conditions}
-    numbers = [column for column, name in zip(numbers, statistics(F.lit("")), strict=True) if name in used]
-    measured = rows.select("doc", *numbers)
-    scored = measured.select("doc", model.score("stat_").alias("score"))
+    scored = packed(docs).select("doc", model.score(F.col(f"doc.`{text_col}`")).alias("score"))
     return unpacked(scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)), *OWN)
