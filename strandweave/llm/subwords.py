@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 #: File of the tokenizer package that the operators use unless told otherwise.
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Characters of text that are split at a time.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 #: Word parts a worker remembers between batches; it starts anew beyond, which only costs time.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 #: Lower-case words of these letters are one piece for the tokenizer, and composed already.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
