@@ -160,6 +160,20 @@ def test_gradients_match_differences():
         assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(g[name][place], rel=2e-2, abs=1e-6)
 
 
+def test_training_uses_every_block(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 1000, n).astype("<u2") for n in (0, 5, 16, 700_000, 40, 300_000)]
+    code = np.append(np.arange(1000), 1000)
+    seen = []
+    monkeypatch.setattr(lm, "gradients", lambda model, before, targets: (seen.append((before, targets)), ({}, 0.0))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts])], ["ids"])
+    steps, _ = lm_scoring._train_task(iter([batch]), random_model(), code, 0)
+    want = np.concatenate(lm.blocks([np.append(t, 1000) for t in texts])[:2], axis=1)
+    got = np.concatenate([np.concatenate(x) for x in zip(*seen)], axis=1)
+    assert steps == len(seen) == -(-len(want) // lm_scoring.BATCH_BLOCKS) > 900
+    assert sorted(map(bytes, got)) == sorted(map(bytes, want))
+
+
 def test_lm_scoring(spark, docs, rows, empty):
     got = lm_scoring.score_documents(docs).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
