@@ -174,6 +174,29 @@ def test_training_uses_every_block(monkeypatch):
     assert sorted(map(bytes, got)) == sorted(map(bytes, want))
 
 
+def test_every_id_has_context(spark):
+    """Beyond the commonest ids too, an id depends on those before it; all ids have a probability."""
+    n_ids = 5000
+    rng = np.random.default_rng(6)
+    order = rng.permutation(4000)
+    texts = [np.repeat(order[i : i + 20], 2) for i in range(0, 4000, 20)] * 3
+    ids = spark.createDataFrame([(t.astype("<u2").tobytes(),) for t in texts], "ids binary")
+    counts, weights, code = lm_scoring.train(ids, n_ids)
+    assert sorted(code) == list(range(n_ids + 1))
+    model = counts.model(weights)
+    assert len({*zip(counts.code_class.tolist(), counts.code_member.tolist())}) == n_ids + 1
+    start = np.array([code[order[-40]], code[order[-40]]])
+    before, targets, _ = lm.blocks([start], n_ids + 1)
+    many, tried = np.repeat(before, n_ids + 1, axis=0), np.full((n_ids + 1, lm.BLOCK), -1)
+    tried[:, 1] = np.arange(n_ids + 1)
+    p = np.exp(lm.log_probabilities(model, many, tried)[:, 1].astype(np.float64))
+    assert p.sum() == pytest.approx(1, abs=1e-3) and p.min() > 0
+    rarest = [i for i in order.tolist() if code[i] > 3000][:50]
+    after = lambda a, b: lm.log_probabilities(model, *lm.blocks([code[[a, b]]], n_ids + 1)[:2])[0, 1]
+    own, other = (np.mean([after(a, b) for a, b in zip(x, rarest)]) for x in (rarest, rarest[7:] + rarest[:7]))
+    assert own > other + 0.5
+
+
 def test_lm_scoring(spark, docs, rows, empty):
     got = lm_scoring.score_documents(docs).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
