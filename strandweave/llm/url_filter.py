@@ -94,17 +94,36 @@ def spelling(url: Column) -> Column:
     return F.concat(F.lit(SPELLED), host, path, F.when(asked == "", F.lit("")).otherwise(F.concat(F.lit("?"), asked)))
 
 
+def _decoded(link: Column) -> Column:
+    """A link with numeric character references, and the five named ones of XML, decoded once."""
+
+    def piece(text: Column) -> Column:
+        name = F.regexp_extract(text, r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot|apos);", 1)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7))
+        number = digits.cast("int")
+        for entity, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+            number = F.when(name == entity, F.lit(ord(char))).otherwise(number)
+        real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(real, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.when(name == "", text).otherwise(F.concat(char, F.substring(text, F.length(name) + 3, F.length(text))))
+
+    return F.when(link.contains("&"), F.array_join(F.transform(F.split(link, "(?=&)"), piece), "")).otherwise(link)
+
+
 def alias_edges(pages: DataFrame, url_col: str, html_col: str | None, redirects: DataFrame | None) -> DataFrame:
-    """``(a, b)``: urls joined by canonical link, refresh or given redirect, and each with its spelling."""
+    """``(a, b)``: urls joined by canonical link, refresh or given redirect, and each end with its spelling."""
     url = F.col(f"`{url_col}`")
     links = [spelling(url)]
     if html_col:
         for pattern in (CANONICAL, REFRESH):
             link = F.regexp_extract(F.col(f"`{html_col}`"), pattern, 1)
-            links.append(F.when(link != "", _absolute(link, url)))
+            links.append(F.when(link != "", _absolute(_decoded(link), url)))
     edges = pages.filter(url.isNotNull()).select(url.alias("a"), F.explode(F.array(*links)).alias("b"))
     if redirects is not None:
-        edges = edges.unionByName(redirects.toDF("a", "b"))
+        moved = redirects.toDF("a", "b")
+        edges = edges.unionByName(moved).unionByName(moved.select(F.col("a"), spelling(F.col("a")).alias("b")).filter(host_of(F.col("a")) != ""))
+    ends = edges.filter(~F.col("b").startswith(SPELLED) & (host_of(F.col("b")) != ""))
+    edges = edges.unionByName(ends.select(F.col("b").alias("a"), spelling(F.col("b")).alias("b")))
     return edges.filter("b IS NOT NULL AND a <> b").distinct()
 
 

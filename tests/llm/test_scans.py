@@ -172,6 +172,20 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_url_targets_in_other_spellings(spark):
+    pages = [
+        (0, "https://a.org/1", '<link rel=canonical href="http://mid.org/p?x=1&amp;y=2">'),
+        (1, "https://b.org/1", '<meta http-equiv=refresh content="0; url=http://mid.org/p?x=1&#38;y=2&#x26;ref=q#top">'),
+        (2, "https://www.mid.org/p?x=1&y=2", '<link rel="canonical" href="http://bad.net/1">'),
+        (3, "https://c.org/1", ""),
+        (4, "https://d.org/1", '<link rel=canonical href="http://mid.org/p?x=1&amp;amp;y=2">'),
+    ]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    moved = spark.createDataFrame([("https://c.org/1", "http://mid.org/p?x=1&y=2")], "x string, y string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(docs, [url_filter.parse_rule("bad.net/", "block")], redirects=moved).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_connected_components(spark, seed):
     rng = random.Random(seed)
