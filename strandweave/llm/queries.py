@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import exact_dedup, fingerprints, lm_scoring, mixing, ngram_join, packing, quality_rules, secret_scan, token_counts, url_filter
+from strandweave.llm import (
+    exact_dedup,
+    fingerprints,
+    lm_scoring,
+    mixing,
+    ngram_join,
+    packing,
+    quality_rules,
+    ranked_search,
+    secret_scan,
+    suffix_dedup,
+    token_counts,
+    tokenizer_alignment,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -134,3 +148,43 @@ def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return lm_scoring.score_documents(_table(spark, sf, "documents", "doc_id", "text"))
+
+
+@query()
+def op11_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "text")
+    marked = suffix_dedup.mark_repeats(docs, columns=["doc_id"])
+    return marked.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query()
+def op12_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "text")
+    return tokenizer_alignment.tokenizer_links(docs).withColumnRenamed("id", "doc_id")
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(f"""
+WITH held AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM held GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counted, total WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs),
+lengths AS (SELECT doc_id, 50 + (50 * n * n_docs) // n_words AS m FROM sizes, total),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+""")
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents", "doc_id", "text")
+    return ranked_search.search(docs, _table(spark, sf, "benchmark", "item_id", "text"))
