@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,16 @@ from strandweave.session import save_scratch, ship_package
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Units a worker remembers; it starts anew beyond, which only costs time.
-REMEMBERED = 150_000
-#: Longer units are aligned anew each time.
+REMEMBERED = 100_000
+#: Longer units are not remembered.
 REMEMBERED_CHARS = 64
 #: Pairs of ids whose counts are sent to the tasks at one time.
 BLOCK_PAIRS = 2_000_000
 
-_UNIT_START = re.compile(r"(?<=\S)(?=[ \n])")
+#: Marks that may begin a unit after a letter.
+_MARKS = ".,;:!?"
+#: Units that are encoded at one time.
+BATCH_UNITS = 20_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -75,8 +79,14 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.b_is_byte = [self.b.is_byte(i) for i in range(self.b.vocab_size())]
         self.unit_wise = not any("\n" in p or re.search("[^▁]▁", p) for p in pieces)
-        self.units: dict[str, tuple | None] = {}
+        # A always ends a token between a letter and one of these marks; B does if no piece holds the two in a row.
+        inner = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        marks = "".join(mark for mark in _MARKS if not any(x + mark in inner for x in ascii_letters))
+        after_letter = rf"|(?<=[a-zA-Z])(?=[{re.escape(marks)}])" if marks else ""
+        self.unit_start = re.compile(rf"(?<=\S)(?=[ \n]){after_letter}")
+        self.remembered: dict[str, tuple | None] = {}
 
     @classmethod
     def of(cls, byte_path: str, piece_path: str) -> Aligner:
@@ -86,10 +96,10 @@ class Aligner:
             cls._shared[key] = cls(*key)
         return cls._shared[key]
 
-    def a_ends(self, text: str) -> tuple[list[int], list[int]]:
+    def a_ends(self, text: str, coded) -> tuple[list[int], list[int]]:
         """Ids of A and the byte at which each ends."""
-        coded = self.a.encode(text, add_special_tokens=False)
-        ids, ends = coded.ids, [end for _, end in coded.offsets]
+        ids, spans = coded.ids, coded.offsets
+        ends = [end for _, end in spans]
         if text.isascii():
             return ids, ends
         sizes = [0]
@@ -99,80 +109,129 @@ class Aligner:
         # Tokens that share a character have its end as theirs; their own bytes say how far each goes.
         at = 0
         for i, token in enumerate(ids):
-            if (i + 1 < len(ids) and coded.offsets[i + 1][0] < coded.offsets[i][1]) or (i and coded.offsets[i][0] < coded.offsets[i - 1][1]):
+            if (i + 1 < len(ids) and spans[i + 1][0] < spans[i][1]) or (i and spans[i][0] < spans[i - 1][1]):
                 ends[i] = at + len(self.a_bytes[token])
             at = ends[i]
         return ids, ends
 
-    def b_ends(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of B and the byte at which each ends, of a text as it stands inside another.
-
-        A line end is put before it, which is a token of its own, so that B's space stays apart. Where a
-        model has other tokens with a line end, only whole texts come here, whose space B adds itself.
-        """
-        if self.unit_wise:
-            pieces, shift = list(self.b.encode("\n" + text, return_type="proto").pieces)[2:], -1
-        else:
-            pieces, shift = self.b.encode(text[1:], return_type="proto").pieces, 1
+    def b_ends(self, pieces, shift: int) -> tuple[list[int], list[int]]:
+        """Ids of B and the byte at which each ends, from the spans of its proto."""
         ids, ends, at = [], [], 0
         for piece in pieces:
-            ids.append(piece.id)
+            token = piece.id
+            ids.append(token)
             # The span of byte-fallback tokens is that of the whole character, at its last byte.
-            at = at + 1 if self.b.is_byte(piece.id) else piece.end + shift
+            at = at + 1 if self.b_is_byte[token] else piece.end + shift
             ends.append(at)
         return ids, ends
 
-    def align(self, text: str) -> tuple | None:
-        """Groups of a text that begins with the space, or None if the tokens don't give its bytes."""
-        a, a_ends = self.a_ends(text)
-        b, b_ends = self.b_ends(text)
+    def align(self, texts: list[str]) -> list[tuple | None]:
+        """For each text as it stands inside another: ``(n_a, n_b, n_groups, n_links, groups, pairs, times)``,
+        or None if the tokens don't give its bytes.
+
+        A line end is put before a text for B, which is a token of its own, so that B's space stays apart. Where
+        a model has other tokens with a line end, only whole texts come here, whose space B adds itself.
+        """
+        coded = self.a.encode_batch(texts, add_special_tokens=False)
+        if self.unit_wise:
+            protos = self.b.encode(["\n" + text for text in texts], return_type="proto")
+            right = [self.b_ends(list(proto.pieces)[2:], -1) for proto in protos]
+        else:
+            right = [self.b_ends(proto.pieces, 1) for proto in self.b.encode([text[1:] for text in texts], return_type="proto")]
+        return [self._groups(text, *self.a_ends(text, x), *y) for text, x, y in zip(texts, coded, right, strict=True)]
+
+    def _groups(self, text: str, a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple | None:
         whole = text.encode()
-        if b"".join(map(self.b_bytes.__getitem__, b)) != whole or b"".join(self.a_bytes.get(i, b"") for i in a) != whole:
+        if b"".join([self.b_bytes[i] for i in b]) != whole or b"".join([self.a_bytes.get(i, b"") for i in a]) != whole:
             return None
-        shown, n_links, pairs = [], 0, Counter()
-        i = j = 0
-        cuts = set(b_ends)
+        shown, n_links, i, j = [], 0, 0, 0
+        pairs: dict[int, int] = {}
+        cuts, n_a, n_b = set(b_ends), len(a), len(b)
         for stop, end in enumerate(a_ends, 1):
-            if end in cuts and (stop == len(a) or a_ends[stop] != end):
-                upto = j
-                while upto < len(b) and b_ends[upto] <= end:
-                    upto += 1
+            if end not in cuts:
+                continue
+            upto = j + 1
+            while upto < n_b and b_ends[upto] <= end:
+                upto += 1
+            if stop == i + 1 and upto == j + 1:
+                n_links += 1
+                code = a[i] << 32 | b[j]
+                pairs[code] = pairs.get(code, 0) + 1
+                shown.append(f"{a[i]}|{b[j]}")
+            else:
                 own_a, own_b = a[i:stop], b[j:upto]
                 n_links += len(own_a) * len(own_b)
                 shown.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-                if len(own_a) == 1 == len(own_b):
-                    pairs[own_a[0] << 32 | own_b[0]] += 1
-                else:
-                    # Equal tokens of a group are taken together.
-                    times_b = Counter(own_b).items()
-                    for x, n in Counter(own_a).items():
-                        for y, more in times_b:
-                            pairs[x << 32 | y] += n * more
-                i, j = stop, upto
-        codes, times = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
-        return len(a), len(b), len(shown), n_links, ";".join(shown), codes, times
-
-    def unit(self, text: str) -> tuple | None:
-        if len(text) > REMEMBERED_CHARS:
-            return self.align(text)
-        if text not in self.units:
-            if len(self.units) >= REMEMBERED:
-                self.units.clear()
-            self.units[text] = self.align(text)
-        return self.units[text]
-
-    def document(self, text: str) -> list[tuple]:
-        """Aligned parts of a text; none if it has no tokens."""
-        if not text:
-            return []
+                # In a large group equal tokens are taken together.
+                few = len(own_a) * len(own_b) <= 16
+                times_b = [(y, 1) for y in own_b] if few else Counter(own_b).items()
+                for x, n in [(x, 1) for x in own_a] if few else Counter(own_a).items():
+                    for y, more in times_b:
+                        code = x << 32 | y
+                        pairs[code] = pairs.get(code, 0) + n * more
+            i, j = stop, upto
+        return n_a, n_b, len(shown), n_links, ";".join(shown), list(pairs), list(pairs.values())
+
+    def units_of(self, text: str) -> list[str]:
+        """Parts of a space and the text between which both tokenizers always end a token."""
         text = " " + text
-        if self.unit_wise:
-            parts = list(map(self.unit, _UNIT_START.split(text)))
-            if None not in parts:
-                return parts
-        # Parts may differ from their tokens where the whole does not.
-        whole = self.align(text)
-        return [] if whole is None else [whole]
+        return self.unit_start.split(text) if self.unit_wise else [text]
+
+    def known(self, units: list[str]) -> list[tuple | None]:
+        """Each unit aligned; those not met lately are aligned together."""
+        missing = [unit for unit in units if unit not in self.remembered]
+        if len(self.remembered) + len(missing) > REMEMBERED:
+            self.remembered.clear()
+            missing = units
+        for at in range(0, len(missing), BATCH_UNITS):
+            part = missing[at : at + BATCH_UNITS]
+            self.remembered.update(zip(part, self.align(part), strict=True))
+        found = [self.remembered[unit] for unit in units]
+        for unit in missing:
+            if len(unit) > REMEMBERED_CHARS:
+                del self.remembered[unit]
+        return found
+
+
+class Aligned:
+    """The texts of a batch as numbers of their distinct units."""
+
+    def __init__(self, aligner: Aligner, texts: list[str]) -> None:
+        units = [aligner.units_of(text) if text else [] for text in texts]
+        coded = pa.array([unit for own in units for unit in own], pa.string()).dictionary_encode()
+        self.parts = aligner.known(coded.dictionary.to_pylist())
+        self.of_text = np.split(coded.indices.to_numpy(), np.cumsum([len(own) for own in units])[:-1])
+        bad = np.array([part is None for part in self.parts], bool)
+        for row in range(len(texts)) if bad.any() else ():
+            if bad[self.of_text[row]].any():
+                # Parts may differ from their tokens where the whole does not.
+                whole = aligner.align([" " + texts[row]])[0] if len(self.of_text[row]) > 1 else None
+                self.of_text[row] = np.array([len(self.parts)] if whole else [], np.int64)
+                self.parts.append(whole)
+
+    def sums(self, place: int) -> np.ndarray:
+        per_part = np.array([part[place] if part else 0 for part in self.parts], np.int64)
+        return np.array([per_part[own].sum() for own in self.of_text], np.int64)
+
+    def groups(self) -> list[str]:
+        shown = [part[4] if part else "" for part in self.parts]
+        return [";".join([shown[i] for i in own.tolist()]) for own in self.of_text]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List ends, distinct pairs and how often each is linked, for the texts in order."""
+        sizes = np.array([len(part[5]) if part else 0 for part in self.parts], np.int64)
+        first = np.cumsum(sizes) - sizes
+        codes = np.array([code for part in self.parts if part for code in part[5]], np.int64)
+        times = np.array([n for part in self.parts if part for n in part[6]], np.int64)
+        known, place = np.unique(codes, return_inverse=True)
+        counts = np.array([len(own) for own in self.of_text], np.int64)
+        unit = np.concatenate([own.astype(np.int64) for own in self.of_text])
+        n = sizes[unit]
+        at = np.repeat(first[unit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row = np.repeat(np.repeat(np.arange(len(counts)), counts), n)
+        key, back = np.unique(row * max(len(known), 1) + place[at], return_inverse=True)
+        ends = np.searchsorted(key, np.arange(len(counts) + 1) * max(len(known), 1)).astype(np.int32)
+        return ends, known[key % max(len(known), 1)], np.bincount(back, times[at]).astype(np.int64)
 
 
 def align_documents(
@@ -196,25 +255,16 @@ def align_documents(
         aligner = Aligner.of(byte_path or vocabulary_path(BYTE_VOCABULARY), piece_path or vocabulary_path(PIECE_MODEL))
         for batch in batches:
             for first, texts in chunks(batch.column(1)):
-                sums, shown, codes, times, rows = np.zeros((4, len(texts)), np.int64), [], [], [], []
-                for row, text in enumerate(texts.to_pylist()):
-                    parts = aligner.document(text)
-                    for k in range(4):
-                        sums[k, row] = sum(part[k] for part in parts)
-                    shown.append(";".join([part[4] for part in parts]))
-                    if parts:
-                        codes.append(np.concatenate([part[5] for part in parts]))
-                        times.append(np.concatenate([part[6] for part in parts]))
-                        rows.append(np.full(len(codes[-1]), row))
-                ends, pairs, n = _sums_by_pair(rows, codes, times, len(texts))
+                aligned = Aligned(aligner, texts.to_pylist())
+                shown, (ends, pairs, times) = aligned.groups(), aligned.pairs()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
-                        *map(pa.array, sums),
+                        *[pa.array(aligned.sums(k)) for k in range(4)],
                         pa.array(shown),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown]),
                         pa.ListArray.from_arrays(ends, pairs),
-                        pa.ListArray.from_arrays(ends, n),
+                        pa.ListArray.from_arrays(ends, times),
                     ],
                     ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "pairs", "times"],
                 )
@@ -226,17 +276,6 @@ def align_documents(
     return docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _sums_by_pair(rows: list, codes: list, times: list, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """List ends, distinct pairs and summed times of each row."""
-    if not rows:
-        return np.zeros(n_rows + 1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row, code, n = np.concatenate(rows), np.concatenate(codes), np.concatenate(times)
-    known, place = np.unique(code, return_inverse=True)
-    key, at = np.unique(row * len(known) + place, return_inverse=True)
-    ends = np.searchsorted(key, np.arange(n_rows + 1) * len(known)).astype(np.int32)
-    return ends, known[key % len(known)], np.bincount(at, n).astype(np.int64)
-
-
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """``(pair, a, count, best)``: how many documents hold a pair linked, and whether none of its A id has more."""
 
