@@ -31,7 +31,7 @@ from strandweave.session import save_scratch, ship_package
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Units a worker remembers; it starts anew beyond, which only costs time.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Longer units are not remembered.
 REMEMBERED_CHARS = 64
 #: Pairs of ids whose counts are sent to the tasks at one time.
