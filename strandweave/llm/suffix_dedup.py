@@ -28,8 +28,10 @@ from strandweave.session import save_scratch, ship_package
 
 LENGTH = 400
 #: Bytes of text sorted together, and bytes of one gram's text beyond which it is dealt over shards.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
 SPLIT_BYTES = 1 << 20
+#: Bytes of shards in one task, which sorts them one by one.
+TASK_BYTES = 32 << 20
 #: Strings merged in one range of the cross-shard merge.
 MERGE_STRINGS = 2_000_000
 #: Bytes hashed at a time; a longer text is hashed in parts.
@@ -171,6 +173,7 @@ def suffix_array(data: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.nda
     two = one << 9 | beyond(one, 1)
     three = two << 9 | beyond(one, 2)
     seven = (two << 18 | beyond(two, 2)) << 27 | beyond(three, 4)
+    del one, two, three
     order = np.argsort(seven)
     rank = np.empty(n, np.int64)
     slots, value, h = np.arange(n), seven[order], 7
@@ -264,11 +267,20 @@ def _spans(k1: np.ndarray, k2: np.ndarray, start: np.ndarray, length: int) -> pa
     )
 
 
+def _each_shard(table: pa.Table) -> Iterator[pa.Table]:
+    """The shards of a table sorted by them, one by one."""
+    shard = table["shard"].to_numpy()
+    starts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+    for a, b in zip(starts, starts[1:]):
+        # take() makes the text begin at its buffer's start.
+        yield table.take(pa.array(np.arange(a, b)))
+
+
 def _sort_shards(contexts: DataFrame, length: int, n_parts: int) -> DataFrame:
     """Spans of repeated strings found inside shards; of dealt grams also the sorted hashes of distinct strings, cut into parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "shard", SHARD_BYTES):
+        for table in (shard for held in whole_groups(batches, "shard", SHARD_BYTES) for shard in _each_shard(held)):
             data, offsets = text_bytes(table["bytes"].combine_chunks())
             k1, k2, lo = (table[name].to_numpy() for name in ("k1", "k2", "lo"))
             split = table["split"].to_numpy()
@@ -380,7 +392,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     wanted = pieces.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(piece)).alias("wanted"))
     once = _once(texts).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     chosen = save_scratch(once)
-    contexts = _cut_contexts(chosen, length).repartition(n_whole + n_dealt, "shard").sortWithinPartitions("shard")
+    n_shards, usual = n_whole + n_dealt, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = max(-(-n_shards * shard_bytes // TASK_BYTES), min(n_shards, usual))
+    contexts = _cut_contexts(chosen, length).repartition(n_tasks, "shard").sortWithinPartitions("shard")
     sorted_shards = save_scratch(_sort_shards(contexts, length, n_parts))
     merged = _merge_shards(sorted_shards.filter("part >= 0").repartition(n_parts, "part").sortWithinPartitions("part"), length)
     spans = sorted_shards.filter("part < 0").unionByName(merged).select("k1", "k2", "start", "stop")
