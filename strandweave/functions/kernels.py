@@ -75,6 +75,93 @@ def canonical_windows(data: np.ndarray, offsets: np.ndarray, k: int):
     return row[at], at - offsets[row[at]], np.minimum(fwd[at], rev[at])
 
 
+# ---- runs of windows that share a minimizer --------------------------------------------------
+
+_SCRAMBLE = 0x2C1B5
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def minimizer_runs(data: np.ndarray, offsets: np.ndarray, k: int, m: int):
+    """Runs of valid windows of a row that follow each other and share their smallest m-mer.
+
+    Returns the codes of ``data``, each run's row, first base, number of bases, and hash of its m-mer. An
+    m-mer counts as its smaller strand, scrambled so that none is favoured; both strands of a window agree.
+    """
+    none = np.empty(0, np.int64)
+    codes = _CODE[data]
+    if len(data) < k:
+        return codes, none, none, none, none.view(np.uint64)
+    bad = np.concatenate(([0], np.cumsum(codes > 3)))
+    codes = np.where(codes > 3, 0, codes).astype(np.uint8)
+    fwd, rev = _windows(codes, m)
+    low = (np.minimum(fwd, rev) * _SCRAMBLE) & ((1 << 2 * m) - 1)
+    reach, width = 1, k - m + 1
+    while 2 * reach <= width:
+        low = np.minimum(low[:-reach], low[reach:])
+        reach *= 2
+    if reach < width:
+        low = np.minimum(low[: reach - width], low[width - reach :])
+    n = len(low)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
+    ok = (bad[k:] == bad[:n]) & (np.arange(n) + k <= offsets[row + 1])
+    # Between the valid windows of two rows there are always windows that are not valid.
+    begins = ok.copy()
+    begins[1:] &= ~ok[:-1] | (low[1:] != low[:-1])
+    ends = ok.copy()
+    ends[:-1] &= ~ok[1:] | (low[1:] != low[:-1])
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    return codes, row[first], first, last + k - first, low[first].astype(np.uint64) * _SPREAD
+
+
+def _each(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places ``first .. first + size - 1`` of every item, in a row."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def pack_runs(codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four bases a byte, every run on bytes of its own, and the byte at which each run ends."""
+    padded = (size + 3) // 4 * 4
+    ends = np.cumsum(padded)
+    bases = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    bases[_each(ends - padded, size)] = codes[_each(first, size)]
+    quads = bases.reshape(-1, 4)
+    return quads[:, 0] << 6 | quads[:, 1] << 4 | quads[:, 2] << 2 | quads[:, 3], ends // 4
+
+
+def run_windows(packed: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Canonical packed k-mers of all windows of packed runs, run by run.
+
+    A window is read from the eight bytes it begins in and, where it reaches further, a ninth.
+    """
+    held = np.concatenate([packed, np.zeros(16, np.uint8)])
+    words = np.ndarray(len(held) - 8, ">u8", held, strides=(1,))
+    n_windows = size - k + 1
+    first = 4 * (np.cumsum((size + 3) // 4) - (size + 3) // 4)
+    found = np.empty(int(n_windows.sum()), np.int64)
+    ends = np.cumsum(n_windows)
+    at = 0
+    while at < len(size):
+        begin = int(ends[at - 1]) if at else 0
+        stop = max(int(np.searchsorted(ends, begin + MAX_BASES // 8, side="right")), at + 1)
+        place = _each(first[at:stop], n_windows[at:stop])
+        shift = (2 * (place & 3)).astype(np.uint64)
+        place >>= 2
+        value = words[place].astype(np.uint64) << shift
+        if k > 29:
+            value |= held[place + 8].astype(np.uint64) >> (np.uint64(8) - shift)
+        kmer = (value >> np.uint64(64 - 2 * k)).astype(np.int64)
+        found[begin : int(ends[stop - 1])] = np.minimum(kmer, _revcomp(kmer, k))
+        at = stop
+    return found
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each occurs; sorts ``values`` in place."""
+    values.sort()
+    first = np.flatnonzero(np.diff(values, prepend=~values[:1]))
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def slices(offsets: np.ndarray, limit: int = MAX_BASES):
     """Row ranges that hold about ``limit`` bases each (at least one row)."""
     row, n_rows = 0, len(offsets) - 1
@@ -343,3 +430,15 @@ def majority_votes(row: np.ndarray, contig: np.ndarray, n_rows: int, min_hits: i
     total = np.bincount(row[winner[row] == contig], minlength=n_rows)
     hits = np.where(streak == counter, streak, total)
     return np.where(hits >= min_hits, winner, 0), hits
+
+
+def plurality_votes(row: np.ndarray, contig: np.ndarray, n_rows: int, min_hits: int):
+    """Contig with the most hits of every row, the lowest id when tied, and its hits."""
+    known, place = np.unique(contig, return_inverse=True)
+    key, n = np.unique(row * max(len(known), 1) + place, return_counts=True)
+    of_row, place = key // max(len(known), 1), key % max(len(known), 1)
+    order = np.lexsort((place, -n, of_row))
+    best = order[np.diff(of_row[order], prepend=-1) != 0]
+    winner, hits = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
+    winner[of_row[best]], hits[of_row[best]] = known[place[best]], n[best]
+    return np.where(hits >= min_hits, winner, 0), hits

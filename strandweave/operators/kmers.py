@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import dna, kernels
+from strandweave.operators import super_kmers
+from strandweave.session import save_scratch
 
 
 def extract_kmers(reads: DataFrame, k: int = 31, id_col: str | None = "read_id", seq_col: str = "seq") -> DataFrame:
@@ -69,8 +71,13 @@ def _finish(counted: DataFrame, min_count: int, max_count: int | None) -> DataFr
 
 
 def count_reads(reads: DataFrame, k: int = 31, min_count: int = 2, max_count: int | None = None) -> DataFrame:
-    """K-mer counts straight from reads; windows with a no-call are left out."""
-    return count_kmers(extract_kmers(reads, k, id_col=None), min_count, max_count)
+    """K-mer counts straight from reads; windows with a no-call are left out.
+
+    Reads travel as packed runs of windows, see :mod:`strandweave.operators.super_kmers`, and a k-mer becomes a row
+    once it is counted.
+    """
+    runs = save_scratch(super_kmers.cut_runs(reads, k))
+    return _finish(super_kmers.count_runs(runs, k, min_count), 1, max_count)
 
 
 def warn_if_capped(counts: DataFrame, max_count: int) -> bool:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave.functions import dna
-from strandweave.operators import kmers
+from strandweave.operators import kmers, super_kmers
+from strandweave.session import save_scratch
 from strandweave.sources import kmer_dump
 from tests import model
 
@@ -73,3 +74,27 @@ def test_dump_round_trip(spark, tmp_path):
     assert kmer_dump.read_dump(spark, path, 5).exceptAll(counts).isEmpty()
     lines = spark.createDataFrame([("ACGTA\t2",), ("TACGT\t3",), ("ACGNA\t1",), ("ACGTA",), ("",), ("ACG\t4",)], "value string")
     assert _named(kmer_dump.parse_dump(lines, 5), 5) == {"ACGTA": 5}
+
+
+@pytest.mark.parametrize("k", [2, 4, 7, 15, 31])
+@pytest.mark.parametrize("hot_bases", [super_kmers.HOT_BASES, 500])
+def test_counts_by_runs(spark, k, hot_bases):
+    """Counts of packed runs, with buckets whole and dealt over tasks, against a plain count."""
+    rng = random.Random(k)
+    texts = ["".join(rng.choices("ACGTacgtN", weights=[20] * 4 + [2] * 4 + [1], k=rng.randint(0, 200))) for _ in range(60)]
+    texts += ["A" * 700, "T" * 300, "AC" * 200, "", "N" * 50, texts[0], model.rc(texts[1].upper())] + ["A" * 150] * 40
+    df = _reads(spark, texts).unionByName(spark.createDataFrame([(9999, None)], "read_id long, seq string"))
+    runs = save_scratch(super_kmers.cut_runs(df.repartition(3), k, buckets=5))
+    want = model.count([t.upper() for t in texts], k)
+    for least in (1, 3):
+        got = super_kmers.count_runs(runs, k, least, buckets=5, hot_bases=hot_bases)
+        assert _named(got, k) == {s: n for s, n in want.items() if n >= least}
+    assert super_kmers.count_runs(save_scratch(super_kmers.cut_runs(df.limit(0), k)), k).isEmpty()
+
+
+def test_runs_are_shorter_than_windows(spark):
+    """No row for each window, and few bases more than the reads have."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("ACGT", k=151)) for _ in range(500)]
+    n, bases = super_kmers.cut_runs(_reads(spark, texts), 31).agg(F.sum(F.octet_length("sizes") / 4), F.sum("n_bases")).first()
+    assert n < 500 * 121 / 6 and bases < 500 * 121 * 5
