@@ -709,7 +709,7 @@ def contig_index(spark, sf):
 
 @query(sql.statement(sql.hits(K_MAP), select="SELECT read_id, pos, contig_id FROM hits"))
 def read_hits(spark, sf):
-    index = save_scratch(mapping.contig_index(_contigs(spark, sf), K_MAP))
+    index = mapping.stored_index(_contigs(spark, sf), K_MAP)
     found = mapping.read_hits(reads.drop_no_calls(_reads(spark, sf)), index, K_MAP)
     return found.select("read_id", F.col("pos").cast("bigint").alias("pos"), "contig_id")
 
@@ -721,9 +721,12 @@ def map_majority(spark, sf):
 
 @query(sql.statement(_MAJORITY, select="SELECT read_id, contig_id, hits FROM assigned"))
 def map_majority_joined(spark, sf):
-    """The same by the join that serves an index too large to broadcast."""
-    mapper = mapping.ReadMapper(_contigs(spark, sf), k=K_MAP, min_hits=MIN_HITS, broadcast_kmers=0)
-    return mapper.assign(_reads(spark, sf))
+    """The same by votes in SQL columns over a table of hits."""
+    kept = reads.drop_no_calls(_reads(spark, sf))
+    hits = mapping.read_hits(kept, mapping.stored_index(_contigs(spark, sf), K_MAP), K_MAP)
+    none = F.lit(0).cast("bigint")
+    voted = kept.select("read_id").join(mapping.vote_majority(hits, MIN_HITS), "read_id", "left")
+    return voted.select("read_id", F.coalesce("contig_id", none).alias("contig_id"), F.coalesce("hits", none).alias("hits"))
 
 
 @query(
@@ -919,6 +922,25 @@ def fastq_stream_counts(spark, sf):
     return streaming.stream_totals(spark, f"{folder}/counts")
 
 
+@query(
+    sql.statement(
+        _MAJORITY,
+        select="""SELECT * FROM (SELECT contig_id, count(*) AS n FROM assigned GROUP BY contig_id
+UNION ALL SELECT -1, count(*) FROM reads WHERE contains(seq, 'N')) WHERE n > 0""",
+    )
+)
+def stream_update_counts(spark, sf):
+    """Two halves of the reads written as FASTQ and counted in update mode as they come; each contig's last update."""
+    every, folder = save_scratch(_reads(spark, sf)), scratch_path(spark)
+    mapper = mapping.ReadMapper(_contigs(spark, sf), k=K_MAP, min_hits=MIN_HITS)
+    for half in (0, 1):
+        own = _as_fastq(every.filter(F.pmod("read_id", F.lit(2)) == half))
+        outputs.fastq_records(own).write.mode("append").text(f"{folder}/reads")
+        stream = fastq.stream_fastq(spark, f"{folder}/reads")
+        streaming.keep_totals(stream, mapper, f"{folder}/kept", f"{folder}/state", availableNow=True).awaitTermination()
+    return streaming.complete(spark, f"{folder}/kept")
+
+
 @query()
 def assembly(spark, sf):
     """Reads to contigs to abundance in one go."""

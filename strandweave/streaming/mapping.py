@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandweave.functions import dna
-from strandweave.operators.mapping import ReadMapper
+from strandweave.operators.mapping import ReadMapper, assign_in_task
+from strandweave.operators.reads import drop_no_calls
 from strandweave.session import save_scratch
 
 # Rows of the count table that are not contigs.
 UNMAPPED = 0
 DROPPED = -1
 
+#: Largest index that running_counts sends to every executor.
+BROADCAST_KMERS = 16_000_000
+
 
 def count_stream(
     reads: DataFrame, mapper: ReadMapper, out_path: str, checkpoint: str, **trigger
@@ -63,12 +67,59 @@ def stream_summary(totals: DataFrame) -> DataFrame:
     )
 
 
+def keep_totals(
+    reads: DataFrame, mapper: ReadMapper, out_path: str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Keep the counts of all reads so far, with a contig index of any size.
+
+    Each micro-batch adds its counts to the version the batch before it wrote and writes a version of its
+    own: ``(contig_id, n, changed)``, ``changed`` telling the contigs this batch added to. A batch that is run again
+    after a failure starts from the same version and overwrites its own, so every read counts once.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        kept = save_scratch(batch.select("read_id", "seq"))
+        bad = dna.has_no_call(F.col("seq"))
+        fresh = mapper.assign(kept).groupBy("contig_id").agg(F.count("*").alias("n")).unionByName(
+            kept.filter(bad).groupBy(F.lit(DROPPED).cast("bigint").alias("contig_id")).agg(F.count("*").alias("n"))
+        )
+        both = fresh.withColumn("changed", F.lit(True))
+        if batch_id:
+            before = _version(batch.sparkSession, out_path, batch_id - 1)
+            both = both.unionByName(before.withColumn("changed", F.lit(False)))
+        summed = both.groupBy("contig_id").agg(F.sum("n").alias("n"), F.max("changed").alias("changed"))
+        summed.write.mode("overwrite").parquet(f"{out_path}/version={batch_id}")
+
+    writer = reads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def _version(spark: SparkSession, out_path: str, version: int) -> DataFrame:
+    path = f"{out_path}/version={version}"
+    return spark.read.schema("contig_id bigint, n bigint, changed boolean").parquet(path).select("contig_id", "n")
+
+
+def updates(spark: SparkSession, out_path: str) -> DataFrame:
+    """``(version, contig_id, n)``: what update mode would have emitted, the new count of each contig a batch added to."""
+    schema = "contig_id bigint, n bigint, changed boolean, version bigint"
+    return spark.read.schema(schema).parquet(out_path).filter("changed").select("version", "contig_id", "n")
+
+
+def complete(spark: SparkSession, out_path: str) -> DataFrame:
+    """``(contig_id, n)`` of the last version, as complete mode would have emitted it."""
+    last = updates(spark, out_path).groupBy("contig_id").agg(F.max_by("n", "version").alias("n"))
+    return last.select("contig_id", "n")
+
+
 def running_counts(reads: DataFrame, mapper: ReadMapper) -> DataFrame:
-    """Streaming ``(contig_id, raw_count)`` for complete or update mode.
+    """Streaming ``(contig_id, raw_count)`` for complete or update mode of Spark's own.
 
-    Needs an index small enough to broadcast, as a stream allows no second grouping by read.
+    Needs an index small enough to broadcast, as a stream allows no second grouping by read; ``keep_totals``
+    takes any index.
     """
-    if mapper.shared is None:
-        raise ValueError("the contig index is too large to broadcast; use count_stream")
-    mapped = mapper.assign(reads).filter(F.col("contig_id") > 0)
+    shared = mapper.shared or mapper.share(BROADCAST_KMERS)
+    if shared is None:
+        raise ValueError("the contig index is too large to broadcast; use keep_totals")
+    assigned = assign_in_task(drop_no_calls(reads), shared, mapper.k, mapper.min_hits)
+    mapped = assigned.filter(F.col("contig_id") > 0)
     return mapped.groupBy("contig_id").agg(F.count("*").alias("raw_count"))

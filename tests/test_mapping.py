@@ -46,6 +46,10 @@ def test_votes_as_columns(spark):
     got = {r.read_id: (r.contig_id, r.hits) for r in mapping.vote_majority(hits, 3).collect()}
     assert got == {i: model.vote(h, 3) for i, h in enumerate(lists) if h}
     best = {r.read_id: (r.contig_id, r.hits) for r in mapping.vote_plurality(hits, 3).collect()}
+    ordered = sorted(rows)
+    row, contig = np.array([r[0] for r in ordered]), np.array([r[2] for r in ordered])
+    by_kernel = list(zip(*(x.tolist() for x in kernels.plurality_votes(row, contig, len(lists), 3)), strict=True))
+    assert {i: v for i, v in enumerate(by_kernel) if lists[i]} == best
     for i, h in enumerate(lists):
         if h:
             n = max(h.count(c) for c in set(h))
@@ -91,10 +95,18 @@ def test_mapping_paths_agree_with_model(spark, k):
             out[i] = model.vote([owner[w] for w in windows if w in owner], 3)
         return out
 
-    for limit in (0, 10**6):
+    for options in ({}, {"hot_bases": 200}, {"broadcast_kmers": 10**6}):
         for drop in (True, False):
-            got = mapping.map_reads(reads, contigs, drop_with_n=drop, k=k, broadcast_kmers=limit)
+            got = mapping.map_reads(reads.repartition(3), contigs, drop_with_n=drop, k=k, **options)
             assert {r.read_id: (r.contig_id, r.hits) for r in got.collect()} == expected(drop)
+    hits = mapping.read_hits(reads, mapping.stored_index(contigs, k), k, hot_bases=200)
+    places = {
+        (i, p + 1): owner[w]
+        for i, r in enumerate(raw)
+        for p in range(len(r) - k + 1)
+        if "N" not in r[p : p + k] and (w := model.canonical(r[p : p + k])) in owner
+    }
+    assert {(r.read_id, r.pos): r.contig_id for r in hits.collect()} == places
 
 
 def test_empty_index_leaves_reads_unmapped(spark):

@@ -143,10 +143,13 @@ def test_streams_match_batch(spark, tmp_path):
     )
     mapper = mapping.ReadMapper(contigs, k=7, min_hits=3)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    kept, log = str(tmp_path / "kept"), str(tmp_path / "log")
 
     def run():
         stream = fastq.stream_fastq(spark, str(folder))
         streaming.count_stream(stream, mapper, out, state, availableNow=True).awaitTermination()
+        stream = fastq.stream_fastq(spark, str(folder))
+        streaming.keep_totals(stream, mapper, kept, log, availableNow=True).awaitTermination()
 
     (folder / "a.fastq").write_text(_text(records[:60]))
     run()
@@ -162,6 +165,12 @@ def test_streams_match_batch(spark, tmp_path):
     assert tuple(streaming.stream_summary(totals).first()) == tuple(expected)
     assert expected.n_reads + expected.n_dropped == len(records) + 5
 
+    assert streaming.complete(spark, kept).exceptAll(totals.filter("n > 0")).isEmpty()
+    changes = streaming.updates(spark, kept).orderBy("version").collect()
+    assert len({r.version for r in changes}) == 2
+    for r in changes:
+        assert all(other.n < r.n for other in changes if other.contig_id == r.contig_id and other.version < r.version)
+
     live = streaming.running_counts(fastq.stream_fastq(spark, str(folder)), mapper)
     query = live.writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start()
     query.awaitTermination()
