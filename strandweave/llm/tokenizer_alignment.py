@@ -13,6 +13,7 @@ of documents that hold it linked, over all documents.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -67,6 +68,8 @@ class Aligner:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of the tokenizer's own would take others'.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True  # their strings are then ordinary text
         self.b = SentencePieceProcessor(model_file=piece_path)
@@ -134,19 +137,26 @@ class Aligner:
         """
         coded = self.a.encode_batch(texts, add_special_tokens=False)
         if self.unit_wise:
-            protos = self.b.encode(["\n" + text for text in texts], return_type="proto")
+            protos = self.b.encode(["\n" + text for text in texts], return_type="proto", num_threads=1)
             right = [self.b_ends(list(proto.pieces)[2:], -1) for proto in protos]
         else:
-            right = [self.b_ends(proto.pieces, 1) for proto in self.b.encode([text[1:] for text in texts], return_type="proto")]
+            right = [self.b_ends(proto.pieces, 1) for proto in self.b.encode([text[1:] for text in texts], return_type="proto", num_threads=1)]
         return [self._groups(text, *self.a_ends(text, x), *y) for text, x, y in zip(texts, coded, right, strict=True)]
 
     def _groups(self, text: str, a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple | None:
         whole = text.encode()
         if b"".join([self.b_bytes[i] for i in b]) != whole or b"".join([self.a_bytes.get(i, b"") for i in a]) != whole:
             return None
+        n_a, n_b = len(a), len(b)
+        cuts = set(b_ends)
+        n_cuts = len(cuts.intersection(a_ends))
+        if n_cuts == 1 and n_a * n_b <= 16:
+            # One group.
+            codes = [x << 32 | y for x in a for y in b]
+            if len(set(codes)) == len(codes):
+                return n_a, n_b, 1, n_a * n_b, ",".join(map(str, a)) + "|" + ",".join(map(str, b)), codes, [1] * len(codes)
         shown, n_links, i, j = [], 0, 0, 0
         pairs: dict[int, int] = {}
-        cuts, n_a, n_b = set(b_ends), len(a), len(b)
         for stop, end in enumerate(a_ends, 1):
             if end not in cuts:
                 continue
