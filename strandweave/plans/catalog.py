@@ -478,14 +478,14 @@ _PRUNE_COUNTS = sql.counts(K_PRUNE)
 _FLOORED = f"{_PRUNE_COUNTS}, live0 AS MATERIALIZED (SELECT kmer, cnt FROM counts WHERE cnt >= {FLOOR})"
 
 
-def _pass_sql(i: int) -> str:
+def _pass_sql(i: int, k: int = K_PRUNE, relative: float = RELATIVE) -> str:
     """One relative pass over ``live<i>``, as weak<i> and live<i + 1>."""
-    step = sql.edges(K_PRUNE, f"live{i}").replace("ends AS", f"ends{i} AS").replace("FROM ends", f"FROM ends{i}")
+    step = sql.edges(k, f"live{i}").replace("ends AS", f"ends{i} AS").replace("FROM ends", f"FROM ends{i}")
     step = step.replace("edges AS", f"edges{i} AS")
     return f"""{step},
 weak{i} AS MATERIALIZED (SELECT DISTINCT e.kmer FROM edges{i} e
   JOIN (SELECT src, max(w) AS m FROM edges{i} GROUP BY src) x ON x.src = e.src
-  WHERE e.w::FLOAT < {RELATIVE}::FLOAT * x.m::FLOAT),
+  WHERE e.w::FLOAT < {relative}::FLOAT * x.m::FLOAT),
 live{i + 1} AS MATERIALIZED (SELECT * FROM live{i} WHERE kmer NOT IN (SELECT kmer FROM weak{i}))"""
 
 
@@ -609,14 +609,7 @@ def unitig_sequences(spark, sf):
 
 # ---- components and contigs --------------------------------------------------------------
 
-_COMPONENTS = """
-pairs AS (SELECT DISTINCT src // 2 AS a, dst // 2 AS b FROM unitigs
-  UNION SELECT DISTINCT dst // 2, src // 2 FROM unitigs),
-cc(node, label) USING KEY (node) AS (
-  SELECT a, min(a) FROM pairs GROUP BY a
-  UNION
-  SELECT p.b, min(c.label) FROM cc c JOIN pairs p ON p.a = c.node JOIN recurring.cc r ON r.node = p.b
-  WHERE c.label < r.label GROUP BY p.b)"""
+_COMPONENTS = sql.components()
 
 
 def _recursive(statement: str) -> str:
@@ -650,14 +643,28 @@ def component_sizes(spark, sf):
     return components.component_sizes(components.unitig_components(_small_unitigs(spark, sf)))
 
 
-@query()
+_CONTIG_COLUMNS = "contig_id, sequence, length, mean_coverage, n_unitigs, component"
+
+
+@query(
+    _recursive(
+        sql.statement(
+            _UNITIGS, _COMPONENTS, sql.walks(), sql.assembled(K), select=f"SELECT {_CONTIG_COLUMNS} FROM assembled"
+        )
+    )
+)
 def contig_table(spark, sf):
-    """Sequential by definition, so checked against a model in the tests."""
     found = contigs.traverse_contigs(_unitigs(spark, sf), K)
     return found.select("contig_id", "sequence", "length", "mean_coverage", "n_unitigs", "component")
 
 
-@query()
+@query(
+    _recursive(
+        sql.statement(
+            _UNITIGS, _COMPONENTS, sql.walks(), sql.assembled(K, 100), select=f"SELECT {_CONTIG_COLUMNS} FROM assembled"
+        )
+    )
+)
 def contigs_min_length(spark, sf):
     return contigs.traverse_contigs(_unitigs(spark, sf), K, min_length=100)
 
@@ -941,10 +948,43 @@ def stream_update_counts(spark, sf):
     return streaming.complete(spark, f"{folder}/kept")
 
 
-@query()
+# Two passes: the second finds nothing, which is what ends the loop.
+_ASSEMBLED = ", ".join(
+    part.strip()
+    for part in (
+        sql.counts(K),
+        "live0 AS MATERIALIZED (SELECT * FROM counts)",
+        _pass_sql(0, K, AssemblyOptions.relative_threshold),
+        _pass_sql(1, K, AssemblyOptions.relative_threshold),
+        sql.edges(K, "live2"),
+        sql.unitigs(K),
+        sql.components(),
+        sql.walks(),
+        sql.assembled(K, AssemblyOptions.min_contig_length),
+        "contigs AS (SELECT contig_id, sequence FROM assembled)",
+    )
+)
+
+
+@query(
+    _recursive(
+        sql.statement(
+            sql.abundance(K, MIN_HITS, _ASSEMBLED),
+            select="""SELECT contig_id, contig_length, raw_count, round(rpkm, 4) AS rpkm, round(tpm, 4) AS tpm, mean_coverage
+FROM ab JOIN assembled USING (contig_id)""",
+        )
+    )
+)
 def assembly(spark, sf):
     """Reads to contigs to abundance in one go."""
     every = _reads(spark, sf)
     found = assemble(every, AssemblyOptions())
     assigned = mapping.map_reads(every, found, k=K, min_hits=MIN_HITS)
-    return ab.abundance_from_assignments(found, assigned)
+    return ab.abundance_from_assignments(found, assigned).select(
+        "contig_id",
+        F.col("contig_length").cast("bigint").alias("contig_length"),
+        "raw_count",
+        F.round("rpkm", 4).alias("rpkm"),
+        F.round("tpm", 4).alias("tpm"),
+        "mean_coverage",
+    )

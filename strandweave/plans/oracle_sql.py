@@ -137,22 +137,93 @@ def node_text(node: str, n_bases: int) -> str:
     return f"CASE WHEN {node} % 2 = 0 THEN {text} ELSE {_rc(text)} END"
 
 
-def index(k: int) -> str:
-    return f"""{contigs()}, {windows(k, 'contigs', 'contig_id', 'sequence', 'ck')},
+def components() -> str:
+    """``cc(node, label)``: the smallest canonical node that unitigs lead to. Needs ``WITH RECURSIVE``."""
+    return """
+pairs AS (SELECT DISTINCT src // 2 AS a, dst // 2 AS b FROM unitigs
+  UNION SELECT DISTINCT dst // 2, src // 2 FROM unitigs),
+cc(node, label) USING KEY (node) AS (
+  SELECT a, min(a) FROM pairs GROUP BY a
+  UNION
+  SELECT p.b, min(c.label) FROM cc c JOIN pairs p ON p.a = c.node JOIN recurring.cc r ON r.node = p.b
+  WHERE c.label < r.label GROUP BY p.b)"""
+
+
+def walks() -> str:
+    """``steps(uid, walk, step)`` over ``unitigs`` and ``cc``: every round, each component takes one step.
+
+    The step goes to the best unvisited unitig at the end of the last one or, where there is none, to the
+    unvisited unitig whose turn to begin a walk comes first. Needs ``WITH RECURSIVE``.
+    """
+    return """
+weighed AS (
+  SELECT uid, ring, src, dst, bases, n_edges, label AS component, (w_sum::FLOAT / n_edges::FLOAT)::FLOAT AS mean_w,
+         src IN (SELECT dst FROM unitigs) AS late
+  FROM unitigs JOIN cc ON node = src // 2),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (
+      PARTITION BY component ORDER BY late, CASE WHEN late THEN 0 ELSE -mean_w END, ring, src, uid) AS turn,
+    row_number() OVER (PARTITION BY src ORDER BY mean_w DESC, ring, uid) AS choice
+  FROM weighed),
+steps(uid, walk, step, component, dst) USING KEY (uid) AS (
+  SELECT uid, uid, 0::BIGINT, component, dst FROM ranked WHERE turn = 1
+  UNION
+  SELECT best.uid, best.walk, best.step, component, best.dst
+  FROM (
+    SELECT component, arg_min({'uid': uid, 'walk': walk, 'step': step, 'dst': dst}, place) AS best
+    FROM (
+      SELECT r.component, r.uid, s.walk, s.step + 1 AS step, r.dst, r.choice AS place
+      FROM steps s JOIN ranked r ON r.src = s.dst
+      UNION ALL
+      SELECT r.component, r.uid, r.uid, 0, r.dst, 1000000000000 + r.turn
+      FROM steps s JOIN ranked r ON r.component = s.component) options
+    WHERE uid NOT IN (SELECT uid FROM recurring.steps)
+    GROUP BY component))"""
+
+
+def assembled(k: int, min_length: int = 0) -> str:
+    """``assembled(contig_id, sequence, length, mean_coverage, n_unitigs, component)`` from ``steps``.
+
+    Coverage is added up in single precision, step by step. Of equal or reverse-complement contigs the first
+    one stays: components by number, in each the walks in the order in which they begin.
+    """
+    return f"""
+walked AS (
+  SELECT walk, min(component) AS component, min(turn) AS turn, count(*) AS n_unitigs,
+         min_by(src, step) AS src, string_agg(bases, '' ORDER BY step) AS bases,
+         list_reduce(list((mean_w * n_edges::FLOAT)::FLOAT ORDER BY step), lambda a, x: (a + x)::FLOAT) AS weight,
+         sum(n_edges)::FLOAT AS n_edges
+  FROM steps JOIN ranked USING (uid, component, dst) GROUP BY walk),
+spelled AS (
+  SELECT w.component, r.turn, n_unitigs, {node_text('w.src', k - 1)} || w.bases AS sequence,
+         (weight / w.n_edges)::FLOAT AS mean_coverage
+  FROM walked w JOIN ranked r ON r.uid = w.walk),
+single AS (
+  SELECT * FROM spelled
+  QUALIFY row_number() OVER (PARTITION BY least(sequence, {_rc('sequence')}) ORDER BY component, turn) = 1),
+assembled AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY length(sequence) DESC, component, turn) AS contig_id, sequence,
+         length(sequence)::INT AS length, mean_coverage, n_unitigs::INT AS n_unitigs, component
+  FROM single WHERE length(sequence) >= {min_length})"""
+
+
+def index(k: int, source: str | None = None) -> str:
+    """``idx(kmer, contig_id)`` over the benchmark items, or over ``contigs`` that ``source`` defines."""
+    return f"""{contigs() if source is None else source}, {windows(k, 'contigs', 'contig_id', 'sequence', 'ck')},
 idx AS MATERIALIZED (SELECT kmer, min(contig_id) AS contig_id FROM ck GROUP BY kmer)"""
 
 
-def hits(k: int) -> str:
-    """``hits(read_id, pos, contig_id)`` of the kept reads, and ``kept``."""
-    return f"""{reads()}, {index(k)},
+def hits(k: int, source: str | None = None) -> str:
+    """``hits(read_id, pos, contig_id)`` of the kept reads, and ``kept``; a given ``source`` defines ``reads`` too."""
+    return f"""{f'{reads()}, ' if source is None else ''}{index(k, source)},
 kept AS MATERIALIZED (SELECT * FROM reads WHERE NOT contains(seq, 'N')),
 {windows(k, 'kept', name='rk')},
 hits AS MATERIALIZED (SELECT read_id, pos, contig_id FROM rk JOIN idx USING (kmer))"""
 
 
-def majority(k: int, min_hits: int) -> str:
+def majority(k: int, min_hits: int, source: str | None = None) -> str:
     """``assigned(read_id, contig_id, hits)`` by the running-candidate vote."""
-    return f"""{hits(k)},
+    return f"""{hits(k, source)},
 lists AS (SELECT read_id, list(contig_id ORDER BY pos) AS h FROM hits GROUP BY read_id),
 folded AS (
   SELECT read_id, h, list_reduce(
@@ -172,9 +243,9 @@ assigned AS MATERIALIZED (
   FROM kept LEFT JOIN scored USING (read_id))"""
 
 
-def abundance(k: int, min_hits: int) -> str:
-    return f"""{majority(k, min_hits)},
-tally AS (
+def abundance(k: int, min_hits: int, source: str | None = None) -> str:
+    return f"""{majority(k, min_hits, source)},
+tally AS MATERIALIZED (
   SELECT c.contig_id, length(c.sequence) AS contig_length,
          (SELECT count(*) FROM assigned a WHERE a.contig_id = c.contig_id) AS raw_count
   FROM contigs c),
