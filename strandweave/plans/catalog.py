@@ -907,16 +907,44 @@ def _as_fastq(every: DataFrame) -> DataFrame:
 
 @query(sql.statement(sql.reads(), select="SELECT read_id, seq, length(seq) AS len FROM reads"))
 def fastq_roundtrip(spark, sf):
-    """The reads written as FASTQ, half of them gzipped, and read again in small byte ranges."""
+    """The reads written as FASTQ, plain, gzip and block-gzip, and read again in small byte ranges."""
     every, folder = save_scratch(_reads(spark, sf)), scratch_path(spark)
-    for mate, kind in enumerate(("none", "gzip")):
-        half = every.filter(F.pmod("read_id", F.lit(2)) == mate)
-        outputs.write_fastq(_as_fastq(half), f"{folder}/{kind}", kind)
-    found = fastq.read_fastq(spark, f"{folder}/none", f"{folder}/gzip", with_quality=True, split_bytes=1 << 16)
+    kinds = ("none", "gzip", "block_gzip")
+    for mate, kind in enumerate(kinds):
+        part = every.filter(F.pmod("read_id", F.lit(len(kinds))) == mate)
+        outputs.write_fastq(_as_fastq(part), f"{folder}/{kind}", kind)
+    found = fastq.read_fastq(spark, *(f"{folder}/{kind}" for kind in kinds), with_quality=True, split_bytes=1 << 16)
     whole = found.filter(F.length("qual") == F.length("seq"))
     return whole.select(F.col("name").cast("bigint").alias("read_id"), "seq", F.length("seq").cast("bigint").alias("len"))
 
 
+_LANES = 5
+
+
+@query(
+    sql.statement(
+        sql.reads(),
+        f"""laned AS (
+  SELECT read_id, (read_id // 4294967296) % 7 % {_LANES} AS lane FROM reads),
+recorded AS (
+  SELECT *, row_number() OVER (PARTITION BY lane ORDER BY read_id) - 1 AS record FROM laned)""",
+        select="""SELECT read_id, (lane + 1)::INT AS mate, record, row_number() OVER (ORDER BY record, lane) - 1 AS ordinal
+FROM recorded""",
+    )
+)
+def fastq_interleaved(spark, sf):
+    """The reads in five files of unequal length, sorted in each, numbered as the files take turns."""
+    every, folder = _reads(spark, sf), scratch_path(spark)
+    lane = F.pmod(F.pmod(F.shiftright("read_id", 32), F.lit(7)), F.lit(_LANES)).cast("int").alias("lane")
+    text = F.format_string("@%d\n%s\n+\n%s", "read_id", "seq", F.expr("repeat('I', length(seq))"))
+    lines = every.select(lane, "read_id", text.alias("value"))
+    lines = lines.repartition(_LANES, "lane").sortWithinPartitions("lane", "read_id").select("lane", "value")
+    lines.write.partitionBy("lane").text(f"{folder}/lanes")
+    paths = [f"{folder}/lanes/lane={i}" for i in range(_LANES)]
+    found = fastq.read_fastq(spark, *paths, with_quality=True, split_bytes=1 << 18, numbered=True)
+    return found.select(F.col("name").cast("bigint").alias("read_id"), "mate", "record", "ordinal")
+
+
 @query(ORACLES["stream_map_counts"])
 def fastq_stream_counts(spark, sf):
     """The reads written as FASTQ and mapped as a stream of files."""

@@ -1,13 +1,15 @@
 """FASTQ as a Spark data source, batch and streaming, plain or gzip.
 
 Plain files are read in byte ranges by many tasks; a task starts at the first record that
-begins in its range. Gzip cannot be split, so such a file is one task. A row's ``offset`` is the
-(decompressed) byte at which its record begins, which orders the reads of a file.
+begins in its range. So are block-gzip files, whose blocks a first pass counts; other gzip cannot
+be split, so such a file is one task, and its reads are spread afterwards. A row's ``offset`` is
+the (decompressed) byte at which its record begins, which orders the reads of a file.
 """
 
 from __future__ import annotations
 
 import gzip
+import json
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -15,13 +17,19 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-SCHEMA = "file string, mate int, offset bigint, number bigint, name string, seq string, qual string"
+from strandweave.session import save_scratch, spread
+from strandweave.sources import block_gzip
+
+SCHEMA = (
+    "file string, mate int, offset bigint, number bigint, range_start bigint, place bigint, "
+    "name string, seq string, qual string"
+)
 SPLIT_BYTES = 128 << 20
 BLOCK_BYTES = 8 << 20
 
@@ -54,13 +62,19 @@ def _is_gzip(name: str) -> bool:
 
 @dataclass
 class FastqRange(InputPartition):
-    """Records that begin in ``[start, stop)`` of a file; a negative ``stop`` is its end."""
+    """Records that begin in ``[start, stop)`` of a file; a negative ``stop`` is its end.
+
+    In a block-gzip file ``block`` is the place of the block that holds decompressed byte ``start``, and
+    ``after_line`` says whether a line ends right before it.
+    """
 
     root: str
     path: str
     start: int
     stop: int
     number: int = 0
+    block: int | None = None
+    after_line: bool = True
 
 
 def _records_begin(lines: list[bytes]) -> int | None:
@@ -72,9 +86,12 @@ def _records_begin(lines: list[bytes]) -> int | None:
     return None
 
 
-def _blocks(stream, start: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Whole lines with the offset of the first; the unfinished line is carried over."""
-    rest, at = b"", start
+def _blocks(stream, start: int, rest: bytes = b"") -> Iterator[tuple[int, list[bytes]]]:
+    """Whole lines with the offset of the first; the unfinished line is carried over.
+
+    ``rest`` is what stands before the stream, from ``start`` on.
+    """
+    at = start
     while True:
         block = stream.read(BLOCK_BYTES)
         if not block:
@@ -91,18 +108,25 @@ def _blocks(stream, start: int) -> Iterator[tuple[int, list[bytes]]]:
 def _read_range(part: FastqRange) -> Iterator[tuple[list[int], list[bytes]]]:
     """Record offsets and their lines, four per record."""
     fs, _ = _open(part.root)
-    if _is_gzip(part.path):
+    if part.block is not None:
+        raw = fs.open_input_file(part.path)
+        raw.seek(part.block)
+        stream = gzip.open(raw, "rb")
+    elif _is_gzip(part.path):
         stream = gzip.open(fs.open_input_stream(part.path, compression=None), "rb")
     else:
         stream = fs.open_input_file(part.path)
     with stream:
         synced = part.start == 0
-        if not synced:
+        before = b""
+        if part.block is not None:
+            before = b"" if synced else b"\n" if part.after_line else b" "
+        elif not synced:
             # Step back one byte: a record right at the start has a line break before it.
             stream.seek(part.start - 1)
         held: list[bytes] = []
         held_at = 0
-        for at, lines in _blocks(stream, 0 if synced else part.start - 1):
+        for at, lines in _blocks(stream, 0 if synced else part.start - 1, before):
             if not held:
                 held_at = at
             held += lines
@@ -147,6 +171,7 @@ def _clean(lines: list[bytes]) -> list[bytes]:
 
 def _batches(part: FastqRange, schema: StructType, mate: int) -> Iterator[pa.RecordBatch]:
     arrow = to_arrow_schema(schema)
+    so_far = 0
     for offsets, lines in _read_range(part):
         heads, seqs, pluses, quals = (lines[i::4] for i in range(4))
         if not all(h.startswith(b"@") for h in heads) or not all(p.startswith(b"+") for p in pluses):
@@ -157,11 +182,14 @@ def _batches(part: FastqRange, schema: StructType, mate: int) -> Iterator[pa.Rec
             "mate": lambda: pa.array([mate] * n, pa.int32()),
             "offset": lambda: pa.array(offsets, pa.int64()),
             "number": lambda: pa.array([part.number] * n, pa.int64()),
+            "range_start": lambda: pa.array([part.start] * n, pa.int64()),
+            "place": lambda: pa.array(range(so_far, so_far + n), pa.int64()),
             "name": lambda: pa.array([h[1:] for h in _clean(heads)], pa.binary()).cast(pa.string()),
             "seq": lambda: pa.array(_clean(seqs), pa.binary()).cast(pa.string()),
             "qual": lambda: pa.array(_clean(quals), pa.binary()).cast(pa.string()),
         }
         yield pa.RecordBatch.from_arrays([make[f.name]() for f in arrow], schema=arrow)
+        so_far += n
 
 
 class _FastqReader(DataSourceReader):
@@ -170,11 +198,17 @@ class _FastqReader(DataSourceReader):
         self.mate = int(options.get("mate", 1))
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
         self.first = int(options.get("firstNumber", 0))
+        self.index = json.loads(options.get("blockIndex", "{}"))
 
     def ranges(self, files: list[pafs.FileInfo]) -> list[FastqRange]:
         out = []
         for number, f in enumerate(files, start=self.first):
-            if _is_gzip(f.path) or f.size <= self.split:
+            if f.path in self.index:
+                out += [
+                    FastqRange(self.path, f.path, start, stop, number, block, after_line)
+                    for start, stop, block, after_line in self.index[f.path]
+                ]
+            elif _is_gzip(f.path) or f.size <= self.split:
                 out.append(FastqRange(self.path, f.path, 0, -1, number))
             else:
                 starts = range(0, f.size, self.split)
@@ -211,8 +245,8 @@ class _FastqStreamReader(_FastqReader, DataSourceStreamReader):
 
 class FastqDataSource(DataSource):
     """``spark.read.format("fastq")``; name only the columns wanted in ``schema`` to leave out
-    names and qualities at the source. ``number`` counts the files. Options: ``mate``, ``splitBytes``,
-    ``firstNumber``."""
+    names and qualities at the source. ``number`` counts the files, ``place`` the records of a range. Options:
+    ``mate``, ``splitBytes``, ``firstNumber``, ``blockIndex`` (of ``_block_index``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -231,6 +265,7 @@ class FastqDataSource(DataSource):
 def register(spark: SparkSession) -> None:
     # By value, as the process that plans a stream has no access to the package that is sent to workers.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    cloudpickle.register_pickle_by_value(block_gzip)
     spark.dataSource.register(FastqDataSource)
 
 
@@ -238,34 +273,109 @@ def _with_read_id(df: DataFrame) -> DataFrame:
     return df.withColumn("read_id", F.shiftleft("number", OFFSET_BITS) + F.col("offset")).drop("number")
 
 
+def _block_index(spark: SparkSession, root: str, files: list[pafs.FileInfo], split_bytes: int) -> dict[str, list]:
+    """Per block-gzip file of over ``split_bytes`` its ranges ``[start, stop, block, after_line]``.
+
+    Tasks count the decompressed bytes of the blocks that begin in each stretch of ``split_bytes``; the
+    driver adds up one row for each stretch.
+    """
+    fs, _ = _open(root)
+    stretches = [
+        (f.path, f.size, at, min(at + split_bytes, f.size))
+        for f in files
+        if _is_gzip(f.path) and f.size > split_bytes and block_gzip.is_block_gzip(fs, f.path)
+        for at in range(0, f.size, split_bytes)
+    ]
+    if not stretches:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = _open(root)
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = [block_gzip.measure(own, r["path"], r["size"], r["start"], r["stop"]) for r in rows]
+            yield pa.RecordBatch.from_pylist(
+                [
+                    {"path": r["path"], "start": r["start"], "block": block, "n_bytes": n, "ends_line": ends}
+                    for r, (block, n, ends) in zip(rows, found, strict=True)
+                ],
+                schema=pa.schema(
+                    [("path", "string"), ("start", "int64"), ("block", "int64"), ("n_bytes", "int64"), ("ends_line", "bool")]
+                ),
+            )
+
+    table = spark.createDataFrame(stretches, "path string, size bigint, start bigint, stop bigint")
+    table = table.repartition(min(len(stretches), 4 * spark.sparkContext.defaultParallelism), "path", "start")
+    measured = table.mapInArrow(run, "path string, start bigint, block bigint, n_bytes bigint, ends_line boolean")
+    index: dict[str, list] = {path: [] for path, *_ in stretches}
+    for row in measured.filter("n_bytes > 0").orderBy("path", "start").collect():
+        ranges = index[row.path]
+        begin = ranges[-1][1] if ranges else 0
+        ranges.append([begin, begin + row.n_bytes, row.block, ends_line if ranges else True])
+        ends_line = row.ends_line
+    for ranges in index.values():
+        if ranges:
+            ranges[-1][1] = -1
+    return index
+
+
+def _ordinal(lengths: list[int], number: Column, record: Column) -> Column:
+    """Place of a file's record when the files take turns; one that has ended is left out."""
+    sizes = F.array(*[F.lit(n).cast("bigint") for n in lengths])
+    earlier_turns = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda total, n: total + F.least(n, record))
+    return earlier_turns + F.size(F.filter(sizes, lambda n, i: (i < number) & (n > record)))
+
+
 def read_fastq(
-    spark: SparkSession, *paths: str, with_quality: bool = False, split_bytes: int = SPLIT_BYTES
+    spark: SparkSession, *paths: str, with_quality: bool = False, split_bytes: int = SPLIT_BYTES, numbered: bool = False
 ) -> DataFrame:
-    """Reads of all files, ``(read_id, file, mate, offset, seq[, name, qual])``.
+    """Reads of all files, ``(read_id, file, mate, offset, seq[, name, qual][, record, ordinal])``.
 
     The first path holds mate 1, the second mate 2, and so on; a path may be a folder. Read ids
-    are unique over all files.
+    are unique over all files. ``numbered`` adds ``record``, the number of a read in its file, and ``ordinal``, its
+    place when all files give one record in turn, where a shorter file simply ends; both count from 0. It reads the
+    files twice: once for the number of records in each range. Neither pass shuffles reads.
     """
     register(spark)
+    plans, lists, number = [], [], 0
+    for mate, path in enumerate(paths, start=1):
+        files = list_files(path)
+        index = _block_index(spark, path, files, split_bytes)
+        whole = any(_is_gzip(f.path) and f.size > split_bytes and f.path not in index for f in files)
+        plans.append((mate, path, number, json.dumps(index), whole))
+        lists += files
+        number += len(files)
+
+    def load(columns: str) -> DataFrame:
+        out = None
+        for mate, path, first, index, whole in plans:
+            df = (
+                spark.read.format("fastq")
+                .schema(columns)
+                .option("mate", str(mate))
+                .option("splitBytes", str(split_bytes))
+                .option("firstNumber", str(first))
+                .option("blockIndex", index)
+                .load(path)
+            )
+            df = spread(df) if whole else df
+            out = df if out is None else out.unionByName(df)
+        return out
+
     columns = "file string, mate int, offset bigint, number bigint, seq string"
     if with_quality:
         columns += ", name string, qual string"
-    parts, number = [], 0
-    for mate, path in enumerate(paths, start=1):
-        df = (
-            spark.read.format("fastq")
-            .schema(columns)
-            .option("mate", str(mate))
-            .option("splitBytes", str(split_bytes))
-            .option("firstNumber", str(number))
-            .load(path)
-        )
-        number += len(list_files(path))
-        parts.append(_with_read_id(df))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if not numbered:
+        return _with_read_id(load(columns))
+    counts = load("number bigint, range_start bigint").groupBy("number", "range_start").agg(F.count(F.lit(1)).alias("n"))
+    counts = save_scratch(counts)
+    totals = {row.number: row.n for row in counts.groupBy("number").agg(F.sum("n").alias("n")).collect()}
+    earlier = Window.partitionBy("number").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("number", "range_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    df = load(f"{columns}, range_start bigint, place bigint").join(before, ["number", "range_start"])
+    df = df.withColumn("record", F.col("before") + F.col("place")).drop("before", "place", "range_start")
+    lengths = [totals.get(i, 0) for i in range(len(lists))]
+    return _with_read_id(df.withColumn("ordinal", _ordinal(lengths, F.col("number"), F.col("record"))))
 
 
 def stream_fastq(spark: SparkSession, path: str, mate: int = 1) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.sources import block_gzip
+
 # The table's columns and the width of sequence lines.
 TSV_COLUMNS = ("contig_id", "length", "raw_count", "rpkm", "tpm", "mean_coverage")
 FASTA_WIDTH = 70
@@ -67,5 +69,8 @@ def fastq_records(reads: DataFrame) -> DataFrame:
 
 
 def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
-    """``compression="gzip"`` writes ``.txt.gz`` parts."""
+    """``compression="gzip"`` writes ``.txt.gz`` parts, ``"block_gzip"`` parts that can be read in ranges."""
+    if compression == "block_gzip":
+        block_gzip.write_lines(fastq_records(reads), path)
+        return
     fastq_records(reads).write.mode("overwrite").option("compression", compression).text(path)

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strandweave.operators import mapping, reads
-from strandweave.sources import fastq, kmer_dump, outputs
+from strandweave.sources import block_gzip, fastq, kmer_dump, outputs
 from tests.synthetic import simulate_pairs
 from strandweave.sources.text_reads import contigs_from_text, reads_from_text
 from strandweave.streaming import mapping as streaming
@@ -213,3 +213,70 @@ def test_large_counts_of_a_dump_are_not_dropped(spark):
     lines = spark.createDataFrame([("ACG\t12345678901234567890",)], "value string")
     with pytest.raises(Exception, match="count too large"):
         kmer_dump.parse_dump(lines, 3).collect()
+
+
+def _block_gzip(text: bytes, size: int) -> bytes:
+    before, block_gzip.PLAIN_BYTES = block_gzip.PLAIN_BYTES, size
+    try:
+        return b"".join(block_gzip.packed([text[i : i + 1000] for i in range(0, len(text), 1000)]))
+    finally:
+        block_gzip.PLAIN_BYTES = before
+
+
+@pytest.mark.parametrize("size, split", [(20, 60), (50, 100), (333, 1000), (5000, 700), (0xFF00, 1 << 20)])
+def test_block_gzip_is_read_in_ranges(spark, tmp_path, size, split):
+    records = _records(300, 5)
+    plain, path = tmp_path / "r.fastq", tmp_path / "r.fastq.gz"
+    plain.write_text(_text(records))
+    path.write_bytes(_block_gzip(plain.read_bytes(), size))
+    assert gzip.decompress(path.read_bytes()) == plain.read_bytes()
+    found = fastq.read_fastq(spark, str(path), with_quality=True, split_bytes=split)
+    want = fastq.read_fastq(spark, str(plain), with_quality=True)
+    columns = ["read_id", "offset", "name", "seq", "qual"]
+    assert sorted(found.select(columns).collect()) == sorted(want.select(columns).collect())
+    if split < path.stat().st_size // 4:
+        assert found.rdd.getNumPartitions() > 2
+
+
+def test_block_gzip_starts_at_and_inside_lines(spark, tmp_path):
+    """Blocks that end with a line, within one, and right before a record whose quality looks like a header."""
+    text = b"".join(b"@r%d\nACGT\n+\n@@@@\n" % (i % 10) for i in range(40))
+    for size in (16, 3, 4, 5, 11, 32):
+        path = tmp_path / f"{size}.gz"
+        path.write_bytes(_block_gzip(text, size))
+        rows = fastq.read_fastq(spark, str(path), split_bytes=41).collect()
+        assert sorted(r.offset for r in rows) == list(range(0, len(text), 16))
+
+
+def test_broken_block_gzip(spark, tmp_path):
+    path = tmp_path / "r.gz"
+    whole = _block_gzip(_text(_records(50)).encode(), 200)
+    path.write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(PySparkException):
+        fastq.read_fastq(spark, str(path), split_bytes=300).count()
+    path.write_bytes(block_gzip.END * 20)
+    assert fastq.read_fastq(spark, str(path), split_bytes=100).count() == 0
+
+
+def test_plain_gzip_is_spread(spark, tmp_path):
+    path = tmp_path / "r.gz"
+    path.write_bytes(gzip.compress(_text(_records(200)).encode()))
+    found = fastq.read_fastq(spark, str(path), split_bytes=100)
+    assert found.count() == 200 and found.rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("sizes", [(30, 30), (40, 7), (3, 20, 0, 11)])
+def test_files_take_turns(spark, tmp_path, sizes):
+    paths, queues = [], []
+    for i, n in enumerate(sizes):
+        records = [(f"{i}:{j}", seq, qual) for j, (_, seq, qual) in enumerate(_records(n, i))]
+        text = _text(records).encode() if n else b""
+        paths.append(str(tmp_path / f"{i}.fastq{'.gz' if i % 2 else ''}"))
+        with open(paths[-1], "wb") as out:
+            out.write(_block_gzip(text, 90) if i % 2 else text)
+        queues.append([name for name, _, _ in records])
+    want = [q[turn] for turn in range(max(sizes)) for q in queues if turn < len(q)]
+    rows = fastq.read_fastq(spark, *paths, with_quality=True, split_bytes=150, numbered=True).collect()
+    assert [r.name for r in sorted(rows, key=lambda r: r.ordinal)] == want
+    assert sorted(r.ordinal for r in rows) == list(range(len(want)))
+    assert all(r.name == f"{r.mate - 1}:{r.record}" for r in rows)
