@@ -7,6 +7,8 @@ tree node keeps the largest counts below it, which bounds all of its points at o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +21,8 @@ NODE_GROUPS = 32
 #: Children of a node, and points of a leaf.
 FANOUT = 16
 LEAST_GROUPS = 16
+#: Pairs whose counts are compared at one time.
+PAIRS = 1 << 16
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -95,7 +99,9 @@ class CountTree:
 
     def __init__(self, sizes: np.ndarray, vectors: list[np.ndarray], percent: int) -> None:
         self.percent = percent
-        coarse = np.array([folded(v, NODE_GROUPS) for v in vectors]).reshape(len(vectors), NODE_GROUPS)
+        coarse = np.zeros((len(vectors), NODE_GROUPS), np.int32)
+        for i, v in enumerate(vectors):
+            coarse[i] = folded(v, NODE_GROUPS)
         # Packed by size first, then by the group that varies most.
         widest = int(np.argmax(coarse.std(axis=0))) if len(vectors) else 0
         slab = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // (FANOUT * FANOUT)
@@ -116,26 +122,48 @@ class CountTree:
         tops, lows, highs = self.levels[level]
         sized = (100 * highs[a] >= self.percent * lows[b]) & (100 * highs[b] >= self.percent * lows[a])
         a, b = a[sized], b[sized]
-        shared = np.minimum(tops[a], tops[b]).sum(axis=1)
+        shared = np.empty(len(a), np.int64)
+        for at in range(0, len(a), PAIRS):
+            part = slice(at, at + PAIRS)
+            shared[part] = np.minimum(tops[a[part]], tops[b[part]]).sum(axis=1, dtype=np.int64)
         sized[sized] = similar_enough(shared, lows[a] + lows[b], self.percent)
         return sized
 
+    def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of nodes one level below those of the given pairs, each once."""
+        n_below = len(self.levels[level - 1][0])
+        grid = np.arange(FANOUT)
+        left = (a[:, None, None] * FANOUT + grid[None, :, None] + 0 * grid[None, None, :]).ravel()
+        right = (b[:, None, None] * FANOUT + 0 * grid[None, :, None] + grid[None, None, :]).ravel()
+        inside = (left < n_below) & (right < n_below) & (left <= right)
+        return left[inside], right[inside]
+
+    def _below(self, level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if level == 0:
+            apart = a < b
+            a, b = a[apart], b[apart]
+        keep = self._may(level, a, b)
+        a, b = a[keep], b[keep]
+        if level == 0:
+            yield self.order[a], self.order[b]
+            return
+        step = PAIRS // (FANOUT * FANOUT)
+        for at in range(0, len(a), step):
+            yield from self._below(level - 1, *self._children(level, a[at : at + step], b[at : at + step]))
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of the points of all pairs that no node or point bound rules out, each pair once.
+
+        At most ``PAIRS`` come at a time, and as few are looked at on each level.
+        """
+        top = np.zeros(1, np.int64)
+        yield from self._below(len(self.levels) - 1, top, top)
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the points of all pairs that no node or point bound rules out, each pair once."""
-        a = b = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, 0, -1):
-            keep = self._may(level, a, b)
-            a, b = a[keep], b[keep]
-            n_below = len(self.levels[level - 1][0])
-            grid = np.arange(FANOUT)
-            left = (a[:, None, None] * FANOUT + grid[None, :, None] + 0 * grid[None, None, :]).ravel()
-            right = (b[:, None, None] * FANOUT + 0 * grid[None, :, None] + grid[None, None, :]).ravel()
-            inside = (left < n_below) & (right < n_below) & (left <= right)
-            a, b = left[inside], right[inside]
-        apart = a < b
-        a, b = a[apart], b[apart]
-        keep = self._may(0, a, b)
-        return self.order[a[keep]], self.order[b[keep]]
+        """All ``parts`` together."""
+        none = np.empty(0, np.int64)
+        left, right = zip((none, none), *self.parts(), strict=True)
+        return np.concatenate(left), np.concatenate(right)
 
 
 def bounds(vectors: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,7 +172,7 @@ def bounds(vectors: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     sizes = np.array([len(v) for v in vectors])
     for wide, narrow in {(int(max(x, y)), int(min(x, y))) for x, y in zip(sizes[a], sizes[b], strict=True)}:
         these = np.flatnonzero((np.maximum(sizes[a], sizes[b]) == wide) & (np.minimum(sizes[a], sizes[b]) == narrow))
-        step = max(1, (1 << 22) // narrow)
+        step = max(1, (1 << 21) // narrow)
         used = np.unique(np.concatenate([a[these], b[these]]))
         table = np.array([folded(vectors[i], narrow) for i in used]).astype(np.uint16)
         place = np.zeros(len(vectors), np.int64)

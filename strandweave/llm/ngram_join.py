@@ -23,7 +23,15 @@ from pyspark.sql import functions as F
 from strandweave.functions.batches import whole_groups
 from strandweave.llm.common import join_groups, packed, text_of, unpacked
 from strandweave.llm.components import connected_components
-from strandweave.llm.count_tree import CountTree, bounds, count_vector, shingle_sets, similar_enough, unpacked_vectors
+from strandweave.llm.count_tree import (
+    PAIRS,
+    CountTree,
+    bounds,
+    count_vector,
+    shingle_sets,
+    similar_enough,
+    unpacked_vectors,
+)
 from strandweave.llm.exact_dedup import filter_blocks, probe, repeated_bits
 from strandweave.llm.subwords import chunks
 from strandweave.session import save_scratch, ship_package
@@ -179,25 +187,37 @@ def _search(table: pa.Table, percent: int, partners: int | None) -> pa.RecordBat
     vectors = unpacked_vectors(table["vector"].to_pylist())
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     ends = np.append(starts[1:], len(place))
-    lefts, rights = [], []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n_held, found = [0], []
+
+    def bound() -> None:
+        """Keep, with what they may share, those of the held pairs whose finest bound is high enough."""
+        a, b = (np.concatenate(parts) for parts in zip(*held, strict=True))
+        held.clear()
+        n_held[0] = 0
+        most = bounds(vectors, a, b)
+        enough = similar_enough(most, sizes[a] + sizes[b], percent)
+        found.append((a[enough], b[enough], most[enough]))
+
+    def hold(a: np.ndarray, b: np.ndarray) -> None:
+        wanted = (labels[a] != labels[b]) & (ids[a] != ids[b])
+        # Two parts meet to be compared with each other; each with itself has its own group.
+        wanted &= (first_part[a] == second_part[a]) | (part[a] != part[b])
+        wanted &= (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
+        held.append((a[wanted], b[wanted]))
+        n_held[0] += len(held[-1][0])
+        if n_held[0] >= 4 * PAIRS:
+            bound()
+
+    twos = starts[ends - starts == 2]
+    hold(twos, twos + 1)
     for begin, end in zip(starts.tolist(), ends.tolist(), strict=True):
-        if end - begin == 2:
-            lefts.append(np.array([begin]))
-            rights.append(np.array([begin + 1]))
-        elif end - begin > 2 and (labels[begin:end] != labels[begin]).any():
-            left, right = CountTree(sizes[begin:end], vectors[begin:end], percent).pairs()
-            lefts.append(left + begin)
-            rights.append(right + begin)
-    a = np.concatenate(lefts) if lefts else np.empty(0, np.int64)
-    b = np.concatenate(rights) if rights else np.empty(0, np.int64)
-    wanted = (labels[a] != labels[b]) & (ids[a] != ids[b])
-    # Two parts meet to be compared with each other; each with itself has its own group.
-    wanted &= (first_part[a] == second_part[a]) | (part[a] != part[b])
-    wanted &= (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
-    a, b = a[wanted], b[wanted]
-    most = bounds(vectors, a, b)
-    wanted = similar_enough(most, sizes[a] + sizes[b], percent)
-    a, b, most = a[wanted], b[wanted], most[wanted]
+        if end - begin > 2 and (labels[begin:end] != labels[begin]).any():
+            for left, right in CountTree(sizes[begin:end], vectors[begin:end], percent).parts():
+                hold(left + begin, right + begin)
+    held.append((twos[:0], twos[:0]))
+    bound()
+    a, b, most = (np.concatenate(parts) for parts in zip(*found, strict=True))
     cut = np.empty(0, np.int64)
     if partners is not None and len(a):
         # The likeliest pairs of each label of each group.
