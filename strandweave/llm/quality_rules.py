@@ -21,35 +21,48 @@ MAX_TRAINING_ROWS = 20_000
 N_TREES, DEPTH, LEAF_ROWS, SHRINK = 40, 3, 20, 0.3
 #: Weight of the lasso penalty on each rule, per training row.
 PENALTY = 0.002
-SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+SPACES = r"[\x20\x09-\x0D]+"
 OWN = ("score", "predicted")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers that describe a text; all are 0 for an empty one."""
-    text = text_of(text)
-    n_chars = F.length(text)
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n_words = F.size(words)
-    lower = F.lower(text)
+def words_of(text: Column) -> Column:
+    """The words, A-Z and other letters in lower case."""
+    return F.array_remove(F.split(F.lower(text), SPACES), "")
+
+
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Numbers that describe a text, given with its ``words_of``; all are 0 for an empty one."""
+    n_chars, n_words = F.length(text), F.size(words)
     per = lambda count, of: F.when(of > 0, count / of).otherwise(F.lit(0.0))
-    without = lambda chars: F.length(F.translate(text, chars, ""))
-    n_solid = without(SPACE)
+    # One character of a class at a time; most texts have few of them.
+    count = lambda chars: F.regexp_count(text, F.lit(chars))
     return {
         "log_words": F.log1p(n_words.cast("double")),
-        "mean_word": per(n_solid, n_words),
+        "mean_word": per(F.length(F.array_join(words, "")), n_words),
         "upper_share": per(F.length(F.regexp_replace(text, r"\P{Lu}+", "")), n_chars),
-        "symbol_share": per(n_chars - without("#%&$*|<>{}[]~^_=+@\\"), n_chars),
-        "shout_share": per(n_chars - without("!?"), n_chars),
-        "digit_share": per(n_chars - without("0123456789"), n_chars),
-        "stop_share": per(n_chars - without(".,;:"), n_chars),
-        "line_share": per(n_chars - without("\n"), n_chars),
-        "distinct_share": per(F.size(F.array_distinct(F.split(lower, r"[\x20\x09-\x0D]+"))), n_words),
-        "again_share": per(F.regexp_count(text, F.lit(r"(?<!\S)(\S+)(?=\s\1(?!\S))")), n_words),
-        "short_share": per(F.regexp_count(text, F.lit(r"(?<!\S)\S{1,3}(?!\S)")), n_words),
+        "symbol_share": per(count(r"[#%&$*|<>{}\[\]~^_=+@\\]"), n_chars),
+        "shout_share": per(count("[!?]"), n_chars),
+        "digit_share": per(count("[0-9]"), n_chars),
+        "stop_share": per(count("[.,;:]"), n_chars),
+        "line_share": per(count("\n"), n_chars),
+        "distinct_share": per(F.size(F.array_distinct(words)), n_words),
+        "again_share": per(F.size(F.filter(words, lambda w, i: w == F.get(words, i + 1))), n_words),
+        "short_share": per(F.size(F.filter(words, lambda w: F.length(w) <= 3)), n_words),
     }
 
 
+def measured(rows: DataFrame, text: Column, names: list[str] | None = None) -> DataFrame:
+    """Every row with statistics of its text as columns: those of ``names``, or all.
+
+    Each step is a one-row ``inline``: the words are split once for all statistics, and a statistic is measured
+    once for all rules, also where the optimizer moves a filter on the score down.
+    """
+    split = F.inline(F.array(F.struct(text_of(text).alias("__text"), words_of(text_of(text)).alias("__words"))))
+    found = statistics(F.col("__text"), F.col("__words"))
+    numbers = [found[name].alias(name) for name in names or found]
+    return rows.select("*", split).select(*rows.columns, F.inline(F.array(F.struct(*numbers))))
+
+
 @dataclass(frozen=True)
 class Rule:
     """Holds where every statistic lies on its side of its limit; ``above`` means greater than it."""
@@ -60,10 +73,10 @@ class Rule:
         fits = [columns[name] > limit if above else columns[name] <= limit for name, above, limit in self.conditions]
         return np.logical_and.reduce(fits)
 
-    def column(self, values: Column) -> Column:
+    def column(self) -> Column:
         fits = F.lit(True)
         for name, above, limit in self.conditions:
-            value = values[name]
+            value = F.col(name)
             fits = fits & ((value > limit) if above else (value <= limit))
         return fits
 
@@ -75,21 +88,13 @@ class RuleEnsemble:
     bias: float
     rules: list[tuple[Rule, float]] = field(default_factory=list)
 
-    def score(self, text: Column) -> Column:
-        """The probability of label 1 as one column expression.
-
-        The statistics are the variable of a lambda, so they are measured once for all rules, also where the
-        optimizer moves the score into a filter.
-        """
-        used = {name for rule, _ in self.rules for name, _, _ in rule.conditions}
-        numbers = [column.alias(name) for name, column in statistics(text).items() if name in used]
-
-        def total(values: Column) -> Column:
-            weights = [F.when(rule.column(values), F.lit(weight)).otherwise(F.lit(0.0)) for rule, weight in self.rules]
-            return sum(weights, F.lit(self.bias))
-
-        margin = F.transform(F.array(F.struct(*numbers)), total)[0] if numbers else F.lit(self.bias)
-        return 1 / (1 + F.exp(-margin))
+    def score(self, rows: DataFrame, text: Column) -> DataFrame:
+        """Rows with ``score``, the probability of label 1: one column expression over the statistics of the rules."""
+        names = sorted({name for rule, _ in self.rules for name, _, _ in rule.conditions})
+        weights = [F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0)) for rule, weight in self.rules]
+        margin = sum(weights, F.lit(self.bias))
+        held = measured(rows, text, names) if names else rows
+        return held.select(*rows.columns, (1 / (1 + F.exp(-margin))).alias("score"))
 
 
 def _grow(columns, names, order, gradient, hessian, rows, depth, path, found) -> np.ndarray:
@@ -187,14 +192,14 @@ def train(
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).dropna()
-    n = known.count()
-    share = F.lit(min(1.0, max_rows / max(n, 1)))
-    drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).limit(max_rows)
+    mix = F.xxhash64("id")
+    drawn = known.orderBy(mix, "id", "label").limit(max_rows)
     # The sample's ids are few, so their rows are found without shuffling any text.
     drawn = spark.createDataFrame(drawn.collect(), drawn.schema)
-    numbers = {name: column.alias(name) for name, column in statistics(F.col("text")).items()}
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(drawn), "id").select("id", "label", *numbers.values()).limit(max_rows).collect()
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    numbers = list(statistics(F.lit(""), F.array()))
+    sample = measured(texts.join(F.broadcast(drawn), "id"), F.col("text")).drop("text")
+    sample = sample.orderBy(mix, "id", "label", *numbers).limit(max_rows).collect()
     sample.sort(key=tuple)
     columns = {name: np.array([row[name] for row in sample], float) for name in numbers}
     return fit(columns, np.array([row.label for row in sample]))
@@ -206,5 +211,5 @@ def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> DataF
     Null and empty texts have all statistics 0 and are scored like any other. Columns named like an
     added one are replaced.
     """
-    scored = packed(docs).select("doc", model.score(F.col(f"doc.`{text_col}`")).alias("score"))
+    scored = model.score(packed(docs), F.col(f"doc.`{text_col}`"))
     return unpacked(scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)), *OWN)
