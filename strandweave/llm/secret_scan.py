@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import packed, text_of, unpacked
+from strandweave.session import save_scratch
 
 # The base patterns and the shortest part of a match that counts.
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -80,10 +81,12 @@ def labelled_samples(found: DataFrame) -> DataFrame:
     those that are to be judged themselves.
     """
     runs = F.regexp_extract_all("rest", F.lit(RUN % LEARNED_FROM), F.lit(1))
-    ordinary = found.select(F.lit(False).alias("random"), F.explode(runs).alias("value"))
-    ordinary = ordinary.filter(~(_mixed(F.col("value")) & (F.length("value") >= JUDGED_FROM)))
-    random = found.select(F.lit(True).alias("random"), F.explode(F.col("base.value")).alias("value"))
-    return ordinary.unionByName(random).groupBy("random", "value").agg(F.count(F.lit(1)).alias("n"))
+    judged = lambda v: _mixed(v) & (F.length(v) >= JUDGED_FROM)
+    as_sample = lambda random: lambda v: F.struct(F.lit(random).alias("random"), v.alias("value"))
+    ordinary = F.transform(F.filter(runs, lambda v: ~judged(v)), as_sample(False))
+    random = F.transform(F.col("base.value"), as_sample(True))
+    samples = found.select(F.inline(F.concat(ordinary, random)))
+    return samples.groupBy("random", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
@@ -124,7 +127,8 @@ def learn(samples: DataFrame) -> MarkovModels:
     A character's probability after another leans on its probability after any.
     """
     width = len(ALPHABET) + 1
-    counts = pair_counts(samples)
+    # A row for each pair of characters and kind; kept, as several sums are made of them.
+    counts = save_scratch(pair_counts(samples))
     grid = samples.sparkSession.range(width * width).select(F.col("id").cast("int").alias("pair"))
     both = counts.groupBy("pair").agg(
         F.sum(F.when(F.col("random"), F.col("n")).otherwise(0)).alias("n_random"),
