@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import string
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,6 +94,22 @@ def test_markov_ratio(spark):
     assert got == pytest.approx(log_p(["x7Qz9", "9zK2q"], value) - log_p(["banana", "bandana"], value))
 
 
+def plain_leaves(text):
+    """Leaves by plain Python: sections, their paragraphs, sentences, up to five words with the spaces around them."""
+    leaves = []
+    for section in re.split("(?<=\n\n)(?=[^\n \t\r])", text):
+        for paragraph in re.split("(?<=\n)", section):
+            for sentence_ in re.split("(?<=[.!?;][ \t])(?=[^ \t])", paragraph):
+                words = re.findall(r"\s*\S+\s*", sentence_, re.ASCII)
+                leaves += ["".join(words[i : i + 5]) for i in range(0, len(words), 5)] or [sentence_]
+    return leaves
+
+
+def shared_leaves(one, other):
+    a, b = Counter(plain_leaves(one)), Counter(plain_leaves(other))
+    return (a & b).total() / max(a.total(), b.total())
+
+
 def test_fingerprints(docs, rows, empty):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
     texts = [r[1] or "" for r in order]
@@ -99,11 +117,14 @@ def test_fingerprints(docs, rows, empty):
     for i, text in enumerate(texts):
         other, n = texts[(i + 1) % len(texts)], len(text) // 4
         edited = text[: len(text) - n] + other[:n]
-        want.append((order[i][0], len(text), hashlib.sha256(edited.encode()).hexdigest(), text == other, text == edited))
+        near = [shared_leaves(text, edited), shared_leaves(text, other)]
+        want.append((order[i][0], len(text), hashlib.sha256(edited.encode()).hexdigest(), *near, text == edited))
     got = fingerprints.compare_with_next(docs).collect()
-    assert sorted(map(str, want)) == sorted(
-        str((r.doc_id, r.n_chars, r.edited_sha256, r.near_next == 1.0, r.fingerprint == r.edited_fingerprint)) for r in got
-    ) or sorted(w[:3] for w in map(lambda w: (str(w[0]), *w[1:]), want)) == sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got)
+    found = [
+        (r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, r.fingerprint == r.edited_fingerprint) for r in got
+    ]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+    assert all((r.edit_section is None) == (r.fingerprint == r.edited_fingerprint) for r in got)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert fingerprints.compare_with_next(empty).count() == 0
 
@@ -115,9 +136,7 @@ def test_trees_lose_nothing_and_locate_edits(spark, docs):
     got = frame.select(
         fingerprints.root(fingerprints.tree(F.col("a"))).alias("ra"),
         fingerprints.root(fingerprints.tree(F.col("b"))).alias("rb"),
-        fingerprints.likeness(
-            fingerprints.leaf_hashes(fingerprints.tree(F.col("a"))), fingerprints.leaf_hashes(fingerprints.tree(F.col("b")))
-        ).alias("near"),
+        fingerprints.likeness(fingerprints.tree(F.col("a")), fingerprints.tree(F.col("b"))).alias("near"),
         fingerprints.differing_paragraphs(fingerprints.tree(F.col("a")), fingerprints.tree(F.col("b"))).alias("where"),
     ).collect()
     assert all(r.ra != r.rb for r in got)
@@ -228,6 +247,45 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.train(frame, labels.filter("quality = 1")).rules == []
 
 
+def plain_statistics(text):
+    """The statistics by plain Python."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w]
+    per = lambda n, of: n / of if of else 0.0
+    chars = lambda among: per(sum(c in among for c in text), len(text))
+    return {
+        "log_words": np.log1p(len(words)),
+        "mean_word": per(sum(map(len, words)), len(words)),
+        "upper_share": per(sum(unicodedata.category(c) == "Lu" for c in text), len(text)),
+        "symbol_share": chars("#%&$*|<>{}[]~^_=+@\\"),
+        "shout_share": chars("!?"),
+        "digit_share": chars("0123456789"),
+        "stop_share": chars(".,;:"),
+        "line_share": chars("\n"),
+        "distinct_share": per(len(set(words)), len(words)),
+        "again_share": per(sum(a == b for a, b in zip(words, words[1:])), len(words)),
+        "short_share": per(sum(len(w) <= 3 for w in words), len(words)),
+    }
+
+
+def test_statistics_and_score_by_plain_python(spark, rows):
+    texts = {r[1] or "" for r in rows} | {"a A b [x]\\y!? 12,3;\n\tZ z", "  lead", "É É é 𝕏𝕏 _#@ ~^", "\x0b\x0c\r", " ".join("ab" * 9) * 400}
+    docs = spark.createDataFrame([(t,) for t in sorted(texts)], "text string")
+    rules = [
+        (quality_rules.Rule((("log_words", True, 2.0), ("mean_word", False, 5.0))), 1.5),
+        (quality_rules.Rule((("again_share", True, 0.1),)), -2.0),
+        (quality_rules.Rule((("short_share", True, 0.3), ("symbol_share", False, 0.02))), 0.75),
+    ]
+    model = quality_rules.RuleEnsemble(-0.25, rules)
+    scores = {r.text: r.score for r in quality_rules.score(docs, model).collect()}
+    assert scores.keys() == texts
+    for row in quality_rules.measured(docs, F.col("text")).collect():
+        want = plain_statistics(row.text)
+        assert {name: row[name] for name in want} == pytest.approx(want)
+        holds = lambda rule: all((want[n] > limit) == above for n, above, limit in rule.conditions)
+        margin = -0.25 + sum(weight for rule, weight in rules if holds(rule))
+        assert scores[row.text] == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
 def test_lasso_finds_the_rule():
     rng = np.random.default_rng(3)
     columns = {"x": rng.random(800), "y": rng.random(800), "z": rng.random(800)}
