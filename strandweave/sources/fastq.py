@@ -32,6 +32,8 @@ SCHEMA = (
 )
 SPLIT_BYTES = 128 << 20
 BLOCK_BYTES = 8 << 20
+#: Read at a time once a range is over and only its last record may go on.
+TAIL_BYTES = 1 << 14
 
 # A read id is the number of its file in the high bits and the record's offset in the low ones.
 OFFSET_BITS = 43
@@ -77,6 +79,22 @@ class FastqRange(InputPartition):
     after_line: bool = True
 
 
+@dataclass
+class FastqRanges(InputPartition):
+    """Ranges that one task reads one after another."""
+
+    parts: list[FastqRange]
+
+
+#: Tasks over which the ranges of a path are dealt at most; more ranges than this share tasks.
+MOST_TASKS = 1024
+
+
+def _dealt(ranges: list[FastqRange]) -> list[FastqRanges]:
+    each = max(-(-len(ranges) // MOST_TASKS), 1)
+    return [FastqRanges(ranges[i : i + each]) for i in range(0, len(ranges), each)]
+
+
 def _records_begin(lines: list[bytes]) -> int | None:
     """First line that opens a record. A quality line may begin with ``@`` too, but then the
     line two below is bases, never ``+``."""
@@ -86,14 +104,17 @@ def _records_begin(lines: list[bytes]) -> int | None:
     return None
 
 
-def _blocks(stream, start: int, rest: bytes = b"") -> Iterator[tuple[int, list[bytes]]]:
+def _blocks(stream, start: int, rest: bytes = b"", stop: int = -1) -> Iterator[tuple[int, list[bytes]]]:
     """Whole lines with the offset of the first; the unfinished line is carried over.
 
-    ``rest`` is what stands before the stream, from ``start`` on.
+    ``rest`` is what stands before the stream, from ``start`` on. Little is read beyond ``stop``, if there is one.
     """
     at = start
+    ahead = start + len(rest)
     while True:
-        block = stream.read(BLOCK_BYTES)
+        wanted = BLOCK_BYTES if stop < 0 else min(max(stop - ahead, TAIL_BYTES), BLOCK_BYTES)
+        block = stream.read(wanted)
+        ahead += len(block)
         if not block:
             if rest:
                 yield at, [rest]
@@ -126,7 +147,7 @@ def _read_range(part: FastqRange) -> Iterator[tuple[list[int], list[bytes]]]:
             stream.seek(part.start - 1)
         held: list[bytes] = []
         held_at = 0
-        for at, lines in _blocks(stream, 0 if synced else part.start - 1, before):
+        for at, lines in _blocks(stream, 0 if synced else part.start - 1, before, part.stop):
             if not held:
                 held_at = at
             held += lines
@@ -216,11 +237,11 @@ class _FastqReader(DataSourceReader):
         return out
 
     def partitions(self):
-        return self.ranges(list_files(self.path))
+        return _dealt(self.ranges(list_files(self.path)))
 
     def read(self, partition):
-        if partition is not None:
-            yield from _batches(partition, self.schema, self.mate)
+        for part in partition.parts if partition is not None else ():
+            yield from _batches(part, self.schema, self.mate)
 
 
 class _FastqStreamReader(_FastqReader, DataSourceStreamReader):
@@ -240,7 +261,7 @@ class _FastqStreamReader(_FastqReader, DataSourceStreamReader):
         known, wanted = set(start["files"]), set(end["files"])
         taken = sorted((f for f in list_files(self.path) if f.path in wanted - known), key=lambda f: f.path)
         numbers = {f.path: len(known) + i for i, f in enumerate(taken)}
-        return [replace(part, number=numbers[part.path]) for part in self.ranges(taken)]
+        return _dealt([replace(part, number=numbers[part.path]) for part in self.ranges(taken)])
 
 
 class FastqDataSource(DataSource):
