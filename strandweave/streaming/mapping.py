@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from strandweave.functions import dna
 from strandweave.operators.mapping import ReadMapper, assign_in_task
 from strandweave.operators.reads import drop_no_calls
-from strandweave.session import save_scratch
 
 # Rows of the count table that are not contigs.
 UNMAPPED = 0
@@ -19,6 +18,20 @@ DROPPED = -1
 BROADCAST_KMERS = 16_000_000
 
 
+def _batch_counts(batch: DataFrame, mapper: ReadMapper) -> DataFrame:
+    """``(contig_id, n)`` of a micro-batch, reads with a no-call as ``DROPPED``.
+
+    One pass: such a read goes through the mapper without its bases, with a mark in place of its id.
+    """
+    bad = dna.has_no_call(F.col("seq"))
+    marked = batch.filter(F.col("seq").isNotNull()).select(
+        bad.cast("bigint").alias("read_id"), F.when(bad, "").otherwise(F.col("seq")).alias("seq")
+    )
+    contig = F.when(F.col("read_id") == 1, F.lit(DROPPED).cast("bigint")).otherwise(F.col("contig_id"))
+    found = mapper.assign(marked, drop_with_n=False)
+    return found.groupBy(contig.alias("contig_id")).agg(F.count("*").alias("n"))
+
+
 def count_stream(
     reads: DataFrame, mapper: ReadMapper, out_path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
@@ -29,14 +42,9 @@ def count_stream(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        # Saved, so that the batch's files are read once for both.
-        kept = save_scratch(batch.select("read_id", "seq"))
-        bad = dna.has_no_call(F.col("seq"))
-        assigned = mapper.assign(kept).groupBy("contig_id").agg(F.count("*").alias("n"))
-        dropped = kept.filter(bad).agg(
-            F.lit(DROPPED).cast("bigint").alias("contig_id"), F.count("*").alias("n")
-        )
-        assigned.unionByName(dropped).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        # The row of dropped reads is there even if none was.
+        none = batch.sparkSession.createDataFrame([(DROPPED, 0)], "contig_id bigint, n bigint")
+        _batch_counts(batch, mapper).unionByName(none).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     writer = reads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
@@ -78,12 +86,7 @@ def keep_totals(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        kept = save_scratch(batch.select("read_id", "seq"))
-        bad = dna.has_no_call(F.col("seq"))
-        fresh = mapper.assign(kept).groupBy("contig_id").agg(F.count("*").alias("n")).unionByName(
-            kept.filter(bad).groupBy(F.lit(DROPPED).cast("bigint").alias("contig_id")).agg(F.count("*").alias("n"))
-        )
-        both = fresh.withColumn("changed", F.lit(True))
+        both = _batch_counts(batch, mapper).withColumn("changed", F.lit(True))
         if batch_id:
             before = _version(batch.sparkSession, out_path, batch_id - 1)
             both = both.unionByName(before.withColumn("changed", F.lit(False)))
