@@ -38,8 +38,8 @@ def main() -> None:
     counts = timed("kmer_count", lambda: save_scratch(kmers.count_reads(every, K, MIN_COUNT)))
     # Counts below MIN_COUNT are gone, so an equal floor has nothing to remove.
     floor = FLOOR if FLOOR > MIN_COUNT else 0
-    live, suspects = timed("prune", lambda: graph.prune_with_suspects(counts, K, floor, RELATIVE))
-    found = timed("unitigs", lambda: unitigs.compact_unitigs(live, K, suspects=suspects))
+    live = timed("prune", lambda: save_scratch(graph.prune(counts, K, floor, RELATIVE)))
+    found = timed("unitigs", lambda: unitigs.compact_unitigs(live, K))
     long = timed("contigs", lambda: contigs.traverse_contigs(found, K, MIN_LENGTH))
     assigned = timed(
         "map_reads", lambda: save_scratch(mapping.map_reads(every, long, k=K, min_hits=MIN_HITS))
