@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.functions import kernels
+from strandweave.functions import batches, dna, kernels
 from strandweave.operators import compare, graph, kmers, mapping, node_buckets, unitigs
 from strandweave.plans import catalog
 from strandweave.session import save_scratch
@@ -138,3 +138,40 @@ def test_stream_of_a_table_in_several_files(spark, tmp_path):
     got = {r.contig_id: r.n for r in catalog.QUERIES["stream_map_counts"](spark, str(tmp_path)).collect()}
     reads = catalog._reads(spark, str(tmp_path))
     assert got[1] > 0 and sum(got.values()) == reads.count()
+
+
+def test_batches_of_large_rows_are_cut():
+    batch = pa.RecordBatch.from_pydict({"key": [i // 100 for i in range(2000)], "value": [b"x" * 1000] * 2000})
+    tables = list(batches.tables_of([batch], 100_000))
+    assert max(t.nbytes for t in tables) <= 200_000 and pa.concat_tables(tables).equals(pa.Table.from_batches([batch]))
+    groups = list(batches.whole_groups([batch], "key", 100_000))
+    assert max(t.nbytes for t in groups) <= 400_000 and pa.concat_tables(groups).equals(pa.Table.from_batches([batch]))
+    assert sum(len(set(t["key"].to_pylist())) for t in groups) == 20
+
+
+@pytest.mark.parametrize("limit", [1, 7, 1000])
+def test_windows_are_counted_in_parts(limit):
+    values = np.random.default_rng(1).integers(0, 40, 500)
+    known, n = np.unique(values, return_counts=True)
+    parts = list(kernels.counted(values.copy(), limit))
+    assert np.array_equal(np.concatenate([x for x, _ in parts]), known)
+    assert np.array_equal(np.concatenate([x for _, x in parts]), n)
+    assert max(int(x.sum()) for _, x in parts) <= limit + int(n.max())
+    assert not list(kernels.counted(values[:0]))
+
+
+@pytest.mark.parametrize("k", [2, 4, 15, 31])
+def test_kmers_are_spelled_by_lookup(spark, k):
+    values = [0, 1, 4**k - 1, random.Random(k).randrange(4**k), None]
+    spelled = [None if v is None else "".join("ACGT"[v >> 2 * i & 3] for i in range(k - 1, -1, -1)) for v in values]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, kmer long")
+    found = rows.select("i", dna.unpack(F.col("kmer"), k).alias("text"))
+    assert [r.text for r in found.orderBy("i").collect()] == spelled and "conv(" not in _plan(found)
+
+
+@pytest.mark.parametrize("k", [4, 5, 15])
+def test_degrees_are_counted_without_shuffling_edges(spark, k):
+    counts = _counts(spark, 2000, k)
+    found = graph.degrees_at_nodes(counts, k)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.degrees(graph.build_edges(counts, k)).collect())) != []
+    assert found.schema.simpleString() == graph.degrees(graph.build_edges(counts, k)).schema.simpleString()
