@@ -1,6 +1,7 @@
 """What must not grow with the tables: broadcasts, bytes read for a range, passes over a micro-batch."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from strandweave.functions import batches, dna, kernels
 from strandweave.operators import compare, graph, kmers, mapping, node_buckets, unitigs
 from strandweave.plans import catalog
-from strandweave.session import save_scratch
+from strandweave.session import save_scratch, scratch_path
 from strandweave.sources import fastq
 from tests import model
 
@@ -175,3 +176,26 @@ def test_degrees_are_counted_without_shuffling_edges(spark, k):
     found = graph.degrees_at_nodes(counts, k)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.degrees(graph.build_edges(counts, k)).collect())) != []
     assert found.schema.simpleString() == graph.degrees(graph.build_edges(counts, k)).schema.simpleString()
+
+
+def test_tables_of_finished_rounds_are_removed(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choices("ACGT", k=3000))
+    reads = spark.createDataFrame([(text[i : i + 100],) for i in range(0, 2900, 20)] * 2, "seq string")
+    folder = Path(scratch_path(spark).removeprefix("file:")).parent
+
+    def tables():
+        return {str(p) for p in folder.glob("*/table")}
+
+    before = tables()
+    counts = kmers.saved_counts(reads, 15)
+    # Only the table of buckets of many bases and the counts themselves are left.
+    assert len(tables() - before) == 2
+    kept = save_scratch(counts)
+    expected = sorted(map(tuple, unitigs.compact_unitigs(kept, 15).collect()))
+    before = tables()
+    found = unitigs.compact_unitigs(counts, 15, task_bytes=20_000, task_links=10, drop_counts=True)
+    assert sorted(map(tuple, found.collect())) == expected != []
+    assert not Path(counts._scratch_folder.removeprefix("file:")).exists()
+    segments = [t for t in tables() - before if "first_eid" in spark.read.parquet(t).columns]
+    assert not segments
