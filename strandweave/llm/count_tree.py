@@ -23,6 +23,8 @@ FANOUT = 16
 LEAST_GROUPS = 16
 #: Pairs whose counts are compared at one time.
 PAIRS = 1 << 16
+#: Groups of folded vectors held at one time.
+TABLE_GROUPS = 1 << 22
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -172,12 +174,14 @@ def bounds(vectors: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     sizes = np.array([len(v) for v in vectors])
     for wide, narrow in {(int(max(x, y)), int(min(x, y))) for x, y in zip(sizes[a], sizes[b], strict=True)}:
         these = np.flatnonzero((np.maximum(sizes[a], sizes[b]) == wide) & (np.minimum(sizes[a], sizes[b]) == narrow))
-        step = max(1, (1 << 21) // narrow)
-        used = np.unique(np.concatenate([a[these], b[these]]))
-        table = np.array([folded(vectors[i], narrow) for i in used]).astype(np.uint16)
-        place = np.zeros(len(vectors), np.int64)
-        place[used] = np.arange(len(used))
+        # Folded vectors of a few million groups at a time, of pairs next to each other in their first set.
+        these = these[np.lexsort((b[these], a[these]))]
+        step = max(1, TABLE_GROUPS // (2 * narrow))
         for at in range(0, len(these), step):
             part = these[at : at + step]
-            found[part] = np.minimum(table[place[a[part]]], table[place[b[part]]]).sum(axis=1, dtype=np.int64)
+            used, place = np.unique(np.concatenate([a[part], b[part]]), return_inverse=True)
+            table = np.empty((len(used), narrow), np.uint16)
+            for row, i in enumerate(used.tolist()):
+                table[row] = folded(vectors[i], narrow)
+            found[part] = np.minimum(table[place[: len(part)]], table[place[len(part) :]]).sum(axis=1, dtype=np.int64)
     return found

@@ -44,7 +44,7 @@ CHUNK = 1024
 #: Likeliest partners that a component offers in a round.
 PARTNERS = 3
 #: Bytes of rows that a task searches at a time.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 8 << 20
 OWN = ("n_shingles", "component_id")
 
 
@@ -275,7 +275,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                     shared = np.intersect1d(x, y, assume_unique=True).size
                     if similar_enough(shared, len(x) + len(y), percent):
                         kept.append(first + i)
-            chosen = batch.take(pa.array(kept, pa.int64()))
+            chosen = batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long").distinct()

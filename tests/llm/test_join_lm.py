@@ -1,6 +1,7 @@
 """N-gram join, language model and pipeline against plain Python."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -243,3 +244,16 @@ def test_pipeline_stages(spark):
             assert len(after) == whole and sum(r.length for r in after if r.start == 0) > 0
             assert {r.doc_id for r in after} == {r.doc_id for r in before}
     assert corpus_pipeline.run(spark, SF_DIR).count() == len(after)
+
+
+def test_bounds_fold_a_few_vectors_at_a_time():
+    rng = np.random.default_rng(5)
+    vectors = [rng.integers(0, 16, size, np.uint8) for size in [4096] * 500 + [16384] * 500]
+    a, b = rng.integers(0, 500, 3000), rng.integers(500, 1000, 3000)
+    tracemalloc.start()
+    found = count_tree.bounds(vectors, a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    for i in range(0, 3000, 300):
+        assert found[i] == np.minimum(vectors[a[i]], vectors[b[i]].reshape(-1, 4096).sum(axis=0)).sum()
