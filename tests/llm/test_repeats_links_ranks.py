@@ -190,6 +190,29 @@ def test_alignment_of_ids(docs, rows):
     assert Counter(r.id for r in got.collect()) == Counter(row[0] for row in rows)
 
 
+def test_aligner_keeps_units_that_recur(monkeypatch):
+    monkeypatch.setattr(tokenizer_alignment, "REMEMBERED", 8)
+    aligner = tokenizer_alignment.Aligner(subwords.vocabulary_path(tokenizer_alignment.BYTE_VOCABULARY), subwords.vocabulary_path(tokenizer_alignment.PIECE_MODEL))
+    for i in range(6):
+        units = [" the", " of", *[f" x{i}y{j}" for j in range(4)]]
+        known = aligner.known(units)
+        whole = aligner.align(units)
+        assert known.shown.to_pylist() == whole.shown.to_pylist() and known.codes.tolist() == whole.codes.tolist()
+        assert {" the", " of"} <= set(aligner.place) and len(aligner.place) <= 8 + len(units)
+        assert len(aligner.units.fine) == len(aligner.again) == len(aligner.place)
+
+
+def test_rows_are_linked_a_few_megabytes_at_a_time(spark, monkeypatch):
+    pairs = list(range(20_000))
+    rows = spark.createDataFrame([(i, pairs, [1] * len(pairs), 0, 0) for i in range(300)], "id long, pairs array<long>, times array<long>, n_best long, count_sum long").coalesce(1)
+    block = spark.sparkContext.broadcast((np.arange(20_000), np.full(20_000, 2), np.ones(20_000, bool)))
+    sizes = tokenizer_alignment._add_counts(rows, block).mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    found = [r.n for r in sizes.collect()]
+    # 300 rows have 96 MB here.
+    assert sum(found) == 300 and max(found) < 300
+    assert {tuple(r)[3:] for r in tokenizer_alignment._add_counts(rows, block).collect()} == {(20_000, 40_000)}
+
+
 # ---- ranked search -----------------------------------------------------------------------
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
