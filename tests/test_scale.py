@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandweave.functions import batches, dna, kernels
 from strandweave.operators import compare, graph, kmers, mapping, node_buckets, unitigs
 from strandweave.plans import catalog
-from strandweave.session import save_scratch, scratch_path
+from strandweave.session import BATCH_BYTES, save_scratch, scratch_path, ship_package
 from strandweave.sources import fastq
 from tests import model
 
@@ -199,3 +199,25 @@ def test_tables_of_finished_rounds_are_removed(spark):
     assert not Path(counts._scratch_folder.removeprefix("file:")).exists()
     segments = [t for t in tables() - before if "first_eid" in spark.read.parquet(t).columns]
     assert not segments
+
+
+def test_python_workers_get_few_megabytes_at_a_time(spark):
+    key, value = next(iter(BATCH_BYTES.items()))
+    before = spark.conf.get(key, None)
+    texts = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(found):
+        for batch in found:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    try:
+        spark.conf.unset(key)
+        ship_package(spark)
+        found = [row.n for row in texts.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 30_000_000 and max(found) < int(value) + 100_000
+        # What the session says stays.
+        spark.conf.set(key, "1000000")
+        ship_package(spark)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.set(key, before or value)
