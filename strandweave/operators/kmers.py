@@ -56,7 +56,18 @@ def count_kmers(kmers: DataFrame, min_count: int = 2, max_count: int | None = No
 
 
 def merge_counts(*parts: DataFrame, min_count: int = 1, max_count: int | None = None) -> DataFrame:
-    """Add up ``(kmer, cnt)`` tables counted separately."""
+    """Add up ``(kmer, cnt)`` tables counted separately.
+
+    Tables of :func:`count_reads` that hold all counts of one ``k`` are merged bucket by bucket, where each of
+    them is counted, so that a k-mer is a row only with its total. Other tables are grouped by k-mer.
+    """
+    sources = [getattr(part, "_counted_runs", None) for part in parts]
+    if all(sources) and len({k for _, k in sources}) == 1:
+        runs = [part.select("grp", "bucket", "n_bases", "sizes", "bases", F.lit(i).alias("part")) for i, (part, _) in enumerate(sources)]
+        union = runs[0]
+        for part in runs[1:]:
+            union = union.unionByName(part)
+        return _finish(super_kmers.count_runs(union, sources[0][1], min_count), 1, max_count)
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -77,7 +88,11 @@ def count_reads(reads: DataFrame, k: int = 31, min_count: int = 2, max_count: in
     once it is counted.
     """
     runs = save_scratch(super_kmers.cut_runs(reads, k))
-    return _finish(super_kmers.count_runs(runs, k, min_count), 1, max_count)
+    counts = _finish(super_kmers.count_runs(runs, k, min_count), 1, max_count)
+    if min_count <= 1 and max_count is None:
+        # Where merge_counts finds what was counted.
+        counts._counted_runs = (runs, k)
+    return counts
 
 
 def saved_counts(reads: DataFrame, k: int = 31, min_count: int = 2, max_count: int | None = None) -> DataFrame:

@@ -1,10 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.functions import dna
+from strandweave.functions import dna, kernels
 from strandweave.operators import kmers, super_kmers
 from strandweave.session import save_scratch
 from strandweave.sources import kmer_dump
@@ -98,3 +99,30 @@ def test_runs_are_shorter_than_windows(spark):
     texts = ["".join(rng.choices("ACGT", k=151)) for _ in range(500)]
     n, bases = super_kmers.cut_runs(_reads(spark, texts), 31).agg(F.sum(F.octet_length("sizes") / 4), F.sum("n_bases")).first()
     assert n < 500 * 121 / 6 and bases < 500 * 121 * 5
+
+
+def test_counts_of_reads_merge_where_they_are_counted(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ACGT", k=60)) for _ in range(40)]
+    chunks = [_reads(spark, texts + texts[:7]), _reads(spark, texts[::2] + ["ACGTTGCA" * 9]), _reads(spark, [])]
+    for least, most in ((1, None), (2, None), (2, 3)):
+        merged = kmers.merge_counts(*[kmers.count_reads(reads, 9, 1) for reads in chunks], min_count=least, max_count=most)
+        # Tables that don't say what they were counted from are grouped by k-mer.
+        grouped = kmers.merge_counts(*[save_scratch(kmers.count_reads(reads, 9, 1)) for reads in chunks], min_count=least, max_count=most)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (merged, grouped)]
+        assert ["hashpartitioning(kmer" in plan for plan in plans] == [False, True]
+        assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, grouped.collect()))
+    # Of other tables, counts are not all there, or of another length.
+    capped = kmers.count_reads(chunks[0], 9, 2)
+    assert not hasattr(capped, "_counted_runs") and not hasattr(kmers.count_reads(chunks[0], 9, 1, max_count=2), "_counted_runs")
+
+
+def test_counted_apart():
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(-50, 50, n) for n in (700, 0, 90, 1)]
+    for limit in (1, 7, 10_000):
+        found = list(kernels.counted_apart([x.copy() for x in parts], limit))
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        assert np.concatenate([x for x, _ in found]).tolist() == values.tolist()
+        assert np.concatenate([x for _, x in found]).tolist() == counts.tolist()
+    assert list(kernels.counted_apart([])) == []
