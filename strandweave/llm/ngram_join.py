@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions.batches import whole_groups
+from strandweave.functions.batches import given_back, whole_groups
 from strandweave.llm.common import join_groups, packed, text_of, unpacked
 from strandweave.llm.components import connected_components
 from strandweave.llm.count_tree import (
@@ -65,7 +65,7 @@ def set_signatures(docs: DataFrame, words: int) -> DataFrame:
                     ["id", "n", "signature"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, signature binary")
+    return docs.mapInArrow(lambda batches: given_back(run(batches)), "id long, n long, signature binary")
 
 
 def frequent_shingles(docs: DataFrame, words: int, n_docs: int) -> DataFrame:
@@ -85,7 +85,7 @@ def frequent_shingles(docs: DataFrame, words: int, n_docs: int) -> DataFrame:
                     [pa.array(shingles[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"]
                 )
 
-    counted = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(lambda batches: given_back(run(batches)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") * FREQUENT_SHARE > n_docs).filter("n > 10")
 
 
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                     ["id", "n", "vector", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, vector binary, prefix array<long>")
+    return docs.mapInArrow(lambda batches: given_back(run(batches)), "id long, n long, vector binary, prefix array<long>")
 
 
 def shared_blocks(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -249,7 +249,7 @@ def candidates(groups: DataFrame, vectors: DataFrame, percent: int, partners: in
             yield _search(table, percent, partners)
 
     rows = rows.select("place", "block", "part_a", "part_b", "part", "id", "label", "n", "vector")
-    return rows.mapInArrow(run, "a long, b long, block long").distinct()
+    return rows.mapInArrow(lambda batches: given_back(run(batches)), "a long, b long, block long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -278,7 +278,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             chosen = batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(lambda batches: given_back(run(batches)), "a long, b long").distinct()
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

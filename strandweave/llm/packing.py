@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.functions.batches import given_back
 from strandweave.llm.common import text_of
 from strandweave.llm.subwords import WordEncoder, chunks, vocabulary_path
 from strandweave.session import save_scratch, ship_package
@@ -29,6 +30,8 @@ SEQUENCE_LENGTH = 2048
 END_ID = 1
 #: Pieces ranked together in one window group, about.
 RANK_GROUP = 500
+#: Characters of text that are encoded at a time.
+CHUNK_CHARS = 2 << 20
 
 
 def pieces(
@@ -51,7 +54,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(vocabulary or vocabulary_path())
         for batch in batches:
-            for first, texts in chunks(batch.column(1)):
+            for first, texts in chunks(batch.column(1), CHUNK_CHARS):
                 ids, starts = encoder.encode(texts)
                 found: dict[str, list] = {name: [] for name in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
                 for i in range(len(starts) - 1):
@@ -73,7 +76,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(columns, ["id", *names])
 
     schema = f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).mapInArrow(lambda batches: given_back(cut(batches)), schema)
 
 
 def pack_histogram(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from strandweave.functions import batches
 from strandweave.llm import packing, subwords, token_counts
 
 CASES = ["", None, " \n x  y\t", "don't WE'LL it's 'tis", "ÀÉÎ STRASSE ẞß ΑΣ ας é", "a\x1cb \x0b c", "日本語 123abc ½ ª", "foo.bar... -- 'ab' (x) ÷x ﬁ"]
@@ -97,3 +98,12 @@ def test_token_counts(docs, rows, empty, tokenizer):
         assert r.total_tokens == sum(lengths)
         assert r.quantile == pytest.approx(r.docs_within / len(lengths))
     assert token_counts.token_counts(empty).count() == 0
+
+
+def test_tasks_give_spare_memory_back(monkeypatch):
+    released = []
+    pool = type("Pool", (), {"release_unused": lambda self: released.append(True)})()
+    monkeypatch.setattr(batches.pa, "default_memory_pool", lambda: pool)
+    made = batches.given_back(iter([1, 2]))
+    assert [next(made), next(made)] == [1, 2] and not released
+    assert list(made) == [] and released == [True]
