@@ -1,5 +1,6 @@
 """Suffix-array dedup, tokenizer alignment and ranked search against plain versions of the same."""
 
+import gc
 import hashlib
 import math
 import random
@@ -213,6 +214,13 @@ def test_rows_are_linked_a_few_megabytes_at_a_time(spark, monkeypatch):
     assert {tuple(r)[3:] for r in tokenizer_alignment._add_counts(rows, block).collect()} == {(20_000, 40_000)}
 
 
+def test_aligner_stops_collection_while_it_encodes(monkeypatch):
+    aligner = tokenizer_alignment.Aligner(subwords.vocabulary_path(tokenizer_alignment.BYTE_VOCABULARY), subwords.vocabulary_path(tokenizer_alignment.PIECE_MODEL))
+    seen, plain = [], aligner._a_tokens
+    monkeypatch.setattr(aligner, "_a_tokens", lambda *args: seen.append(gc.isenabled()) or plain(*args))
+    assert aligner.align([" some", " words"]).fine.all() and seen == [False] and gc.isenabled()
+
+
 # ---- ranked search -----------------------------------------------------------------------
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
