@@ -87,6 +87,8 @@ def count_reads(reads: DataFrame, k: int = 31, min_count: int = 2, max_count: in
     Reads travel as packed runs of windows, see :mod:`strandweave.operators.super_kmers`, and a k-mer becomes a row
     once it is counted. K-mers of a short ``k`` are counted where the reads are.
     """
+    if k <= super_kmers.DENSE_K:
+        return _finish(super_kmers.count_dense(reads, k, min_count), 1, max_count)
     runs = save_scratch(super_kmers.cut_runs(reads, k))
     counts = _finish(super_kmers.count_runs(runs, k, min_count), 1, max_count)
     if min_count <= 1 and max_count is None:

@@ -65,6 +65,20 @@ def test_weights_of_windows():
     assert np.array_equal(np.sort(kernels.run_windows(held, own, 9)), np.sort(kernels.run_windows(*kernels.taken_runs(packed, size, np.concatenate([np.flatnonzero(short), np.repeat(np.flatnonzero(~short), 2)]))[:1], size[np.concatenate([np.flatnonzero(short), np.repeat(np.flatnonzero(~short), 2)])], 9)))
 
 
+@pytest.mark.parametrize("k", [2, 6, 8])
+def test_short_kmers_are_counted_where_the_reads_are(spark, k):
+    texts = _texts()
+    reads = _reads(spark, [*texts, None])
+    counts = kmers.count_reads(reads.repartition(3), k, 1)
+    # A task sends a row for each k-mer it met, and no runs.
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" not in plan and "hashpartitioning(kmer" in plan
+    want = {(model.pack(s), n) for s, n in model.count(texts, k).items()}
+    assert set(_rows(counts)) == want
+    assert set(_rows(kmers.count_reads(reads, k, 3, 5))) == {(s, min(n, 5)) for s, n in want if n >= 3}
+    assert kmers.count_reads(reads.limit(0), k).isEmpty()
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 5, 9, 15, 30, 31])
 def test_chains_hold_each_kmer_once(k):
     rng = np.random.default_rng(k)
